@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe, chunks, decontaminate, fingerprint, jaccard, language, licenses, lines, sharding, simple8b
+
 #: Where the public vocabularies are; nothing of them is copied here.
 TOKENIZERS = os.environ.get("PAGEWRIGHT_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -20,10 +22,44 @@ def vocabulary() -> str:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .language import identify
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.pack_tokens(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.spans(table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_pairs(table(spark, sf_dir, "documents"))
+
 
-    return identify(table(spark, sf_dir, "documents"))
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language_id": op1_language_id}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_bpe, op4_fingerprints, op5_token_output, op6_line_dedup, op7_decontaminate, op8_substring_dedup, op9_jaccard_join, op10_license_scan)}
+ORACLES: dict[str, str] = {"op4_fingerprints": fingerprint.ORACLE, "op6_line_dedup": lines.ORACLE, "op9_jaccard_join": jaccard.ORACLE}
