@@ -22,6 +22,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def ngrams(data: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, n
 
 
 def lower(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return flat(pa.compute.utf8_lower(as_array(texts)))
+    return flat(pc.utf8_lower(as_array(texts)))
 
 
 def signatures(g: np.ndarray, d: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

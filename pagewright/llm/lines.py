@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -254,9 +255,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             cols = b.columns[:-2]
             cols[at] = text
             if count_at is not None:
-                n = pa.compute.utf8_length(text).cast(cols[count_at].type)
-                cols[count_at] = pa.compute.if_else(pa.array(removed > 0), n, cols[count_at])
-            left = pa.compute.or_(pa.array(removed == 0), pa.compute.fill_null(pa.compute.match_substring_regex(text, r"[^ \t\r\n]"), False))
+                n = pc.utf8_length(text).cast(cols[count_at].type)
+                cols[count_at] = pc.if_else(pa.array(removed > 0), n, cols[count_at])
+            left = pc.or_(pa.array(removed == 0), pc.fill_null(pc.match_substring_regex(text, r"[^ \t\r\n]"), False))
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(left)
 
     return j.mapInArrow(run, schema)
