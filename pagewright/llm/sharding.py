@@ -37,13 +37,13 @@ def quantiles(sample: list[tuple], pieces: int, limit: float | None) -> list[tup
     ``limit`` is the least score that wasn't drawn; None if the sample holds everything."""
     rows = sorted(sample, key=lambda r: order(r[0], r[1]))
     weight = [r[2] if limit is None else r[2] / max(-math.expm1(-r[2] * limit), 1e-12) for r in rows]
-    total, out, run = sum(weight), [], 0.0
-    for r, w in zip(rows, weight):
-        if len(out) < pieces - 1 and run >= total * (len(out) + 1) / pieces:
-            if not out or out[-1] != (r[0], r[1]):
+    total, out, run, k = sum(weight), [], 0.0, 1
+    for n, (r, w) in enumerate(zip(rows, weight)):
+        if n and k < pieces and run + w / 2 >= total * k / pieces:  # nearer to the quantile than the place behind it
+            if (r[0], r[1]) != (rows[0][0], rows[0][1]) and (not out or out[-1] != (r[0], r[1])):
                 out.append((r[0], r[1]))
-            while len(out) < pieces - 1 and run >= total * (len(out) + 1) / pieces:
-                pieces -= 1  # one record is more than a piece
+            while k < pieces and run + w / 2 >= total * k / pieces:
+                k += 1
         run += w
     return out
 
@@ -88,23 +88,30 @@ def splitters_of(docs: DataFrame, key_col: str, id_col: str, text_col: str, shar
 
     rows, limit = sample(scored, shards * samples)
     splitters = quantiles(rows, shards, limit)
-    done: set = set()
     while True:
         placed = scored.withColumn("r", range_of(F.col("k"), F.col("i"), splitters, kt, it))
-        sizes = {r["r"]: r for r in placed.groupBy("r").agg(F.sum("w").alias("w"), F.min(F.struct("k", "i")).alias("lo"), F.max(F.struct("k", "i")).alias("hi")).collect()}
-        share = sum(r["w"] for r in sizes.values()) / shards
-        over = {r: x for r, x in sizes.items() if x["w"] > slack * share and tuple(x["lo"]) != tuple(x["hi"]) and (tuple(x["lo"]), tuple(x["hi"])) not in done}
+        key = F.struct("k", "i")
+        found = placed.groupBy("r").agg(F.sum("w").alias("w"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.max_by(key, F.struct("w", "k", "i")).alias("big")).collect()
+        share = sum(r["w"] for r in found) / shards
+        over = {r["r"]: r for r in found if r["w"] > slack * share and tuple(r["lo"]) != tuple(r["hi"])}
         if not over:
             return splitters
         inside = placed.filter(F.col("r").isin(list(over)))
         pieces = {r: math.ceil(x["w"] / share) for r, x in over.items()}
         rows, limit = sample(inside.select("k", "i", "w", "s", "r"), sum(pieces.values()) * samples)
-        new = list(splitters)
         for r, x in over.items():
-            done.add((tuple(x["lo"]), tuple(x["hi"])))
-            new += quantiles([row[:4] for row in rows if row[4] == r], pieces[r], limit)
-        new = sorted(set(new), key=lambda s: order(*s))
-        splitters = new
+            new = quantiles([row[:4] for row in rows if row[4] == r], pieces[r], limit)
+            lo, big = tuple(x["lo"]), tuple(x["big"])
+            new = [s for s in new if order(*s) > order(*lo)]
+            if not new:  # the sample doesn't tell two keys apart: the largest record is set apart
+                if big == lo:
+                    big = tuple(inside.filter(F.col("r") == r).filter(_above(lo, kt, it)).agg(F.min(key).alias("m")).first()["m"])
+                new = [big]
+            splitters = sorted({*splitters, *new}, key=lambda s: order(*s))
+
+
+def _above(lo: tuple, kt, it) -> Column:
+    return F.struct(F.col("k"), F.col("i")) > F.struct(F.lit(lo[0]).cast(kt).alias("k"), F.lit(lo[1]).cast(it).alias("i"))
 
 
 def shard(docs: DataFrame, key_col: str = "source", id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, samples: int = SAMPLES, slack: float = SLACK) -> DataFrame:
