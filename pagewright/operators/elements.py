@@ -37,7 +37,8 @@ def flatten_pages(pages: DataFrame) -> DataFrame:
 def to_pages(elements: DataFrame) -> DataFrame:
     """Element rows grouped to pages, elements in order."""
     rest = [c for c in elements.columns if c not in ("doc_id", "page_number")]
-    return elements.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in rest if c != "ord"]))).alias("elements"))
+    rows = F.collect_list(F.struct("ord", *[c for c in rest if c != "ord"]))
+    return elements.groupBy("doc_id", "page_number").agg(F.array_sort(rows, lambda a, b: a["ord"] - b["ord"]).alias("elements"))
 
 
 def after_element(elements: DataFrame, anchors: DataFrame) -> DataFrame:
