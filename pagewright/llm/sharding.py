@@ -1,11 +1,12 @@
 """Shards of even size by sampled splitters.
 
 1. A size-weighted sample of keys is drawn by an exponential race: a record of size w gets the score -ln(u)/w, u from
-   a hash of its key and id, and the least scores win. Each sampled key stands for its size over its chance of being
-   drawn.
+   a hash of its key and id, and is drawn if its score is below a line that lets through about as many as wanted (all
+   where there aren't more). Each sampled key stands for its size over its chance of being drawn. A task sends the
+   driver only what it drew, so the whole sample is all that arrives there.
 2. The sample's weighted quantiles are the splitters, and a record's range is the number of splitters not above it.
 3. Sizes of all ranges are added up over all records. A range above ``SLACK`` times the even share is subdivided by
-   splitters sampled within it, until none is left that can be divided.
+   splitters sampled within it, twice as densely each time, until none is left that can be divided.
 
 Records are ordered by (key, id), so that one key with most of the data (a hot source) is divided by id. The sample
 and the splitters on the driver are as many as the parameters say, whatever the size of the data.
@@ -14,6 +15,7 @@ and the splitters on the driver are as many as the parameters say, whatever the
 from __future__ import annotations
 
 import math
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ SLACK = 1.25
 
 
 def score(key: Column, ident: Column, size: Column) -> Column:
-    """The race: least scores win, in proportion to size."""
+    """The race: low scores win, in proportion to size."""
     u = (F.pmod(F.xxhash64(key, ident), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.log(u) / size
 
@@ -34,7 +36,7 @@ def score(key: Column, ident: Column, size: Column) -> Column:
 def quantiles(sample: list[tuple], pieces: int, limit: float | None) -> list[tuple]:
     """Splitters, as (key, id), that cut the sample of (key, id, size, score) into pieces of equal weight.
 
-    ``limit`` is the least score that wasn't drawn; None if the sample holds everything."""
+    ``limit`` is the line below which scores were drawn; None if the sample holds everything."""
     rows = sorted(sample, key=lambda r: order(r[0], r[1]))
     weight = [r[2] if limit is None else r[2] / max(-math.expm1(-r[2] * limit), 1e-12) for r in rows]
     total, out, run, k = sum(weight), [], 0.0, 1
@@ -82,23 +84,24 @@ def splitters_of(docs: DataFrame, key_col: str, id_col: str, text_col: str, shar
     kt, it = small.schema["k"].dataType, small.schema["i"].dataType
     scored = small.withColumn("s", score(F.col("k"), F.col("i"), F.col("w")))
 
-    def sample(df: DataFrame, k: int) -> tuple[list, float | None]:
-        got = [tuple(r) for r in df.orderBy("s", "k", "i").limit(k + 1).collect()]
-        return (got[:k], got[k][3]) if len(got) > k else (got, None)
+    def sample(df: DataFrame, k: int, weight: float, n: int) -> tuple[list, float | None]:
+        limit = k / weight if n > k else None
+        return [tuple(r) for r in (df if limit is None else df.filter(F.col("s") < limit)).collect()], limit
 
-    rows, limit = sample(scored, shards * samples)
+    whole = small.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"), F.count("*").alias("n")).first()
+    rows, limit = sample(scored, shards * samples, whole["w"], whole["n"])
     splitters = quantiles(rows, shards, limit)
-    while True:
+    for turn in count():  # each turn adds a splitter to every range that is too large, so this ends
         placed = scored.withColumn("r", range_of(F.col("k"), F.col("i"), splitters, kt, it))
         key = F.struct("k", "i")
-        found = placed.groupBy("r").agg(F.sum("w").alias("w"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.max_by(key, F.struct("w", "k", "i")).alias("big")).collect()
+        found = placed.groupBy("r").agg(F.sum("w").alias("w"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.max_by(key, F.struct("w", "k", "i")).alias("big"), F.count("*").alias("n")).collect()
         share = sum(r["w"] for r in found) / shards
         over = {r["r"]: r for r in found if r["w"] > slack * share and tuple(r["lo"]) != tuple(r["hi"])}
         if not over:
             return splitters
         inside = placed.filter(F.col("r").isin(list(over)))
         pieces = {r: math.ceil(x["w"] / share) for r, x in over.items()}
-        rows, limit = sample(inside.select("k", "i", "w", "s", "r"), sum(pieces.values()) * samples)
+        rows, limit = sample(inside.select("k", "i", "w", "s", "r"), sum(pieces.values()) * samples << min(turn, 10), sum(x["w"] for x in over.values()), sum(x["n"] for x in over.values()))
         for r, x in over.items():
             new = quantiles([row[:4] for row in rows if row[4] == r], pieces[r], limit)
             lo, big = tuple(x["lo"]), tuple(x["big"])

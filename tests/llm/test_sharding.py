@@ -21,7 +21,7 @@ def check(docs, out, splitters, shards, slack):
 
 def test_corpus(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for shards, samples in ((8, 3), (100, 1), (1, 5)):
+    for shards, samples in ((8, 3), (30, 2), (1, 5)):
         splitters = S.splitters_of(docs, "source", "doc_id", "text", shards, samples)
         assert splitters == sorted(set(splitters), key=lambda s: S.order(*s))
         check(docs, S.shard(docs, shards=shards, samples=samples), splitters, shards, S.SLACK)
