@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 U64 = np.uint64
 
 
@@ -150,8 +150,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def shards_of(spark: SparkSession) -> int:
-    """Shards of a packed shuffle: as many as shuffle partitions, which is the setting that follows the data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Shards of a packed shuffle: four to a shuffle partition (the setting that follows the data), so partitions are even."""
+    return max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 PACKED = "shard int, packed binary"
