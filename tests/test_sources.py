@@ -250,3 +250,42 @@ def test_predicates(spark):
     assert [r[0] for r in df.select(T.comma_count(df.t)).collect()] == [2, 0]
     assert [r[0] for r in df.select(T.is_code_mime_type(df.t)).collect()] == [False, True]
     assert df.select(T.type_of_mime(F.lit("text/html; charset=utf-8"))).first()[0] == "HTML"
+
+
+def test_remote(spark):
+    """A small server in this process answers; what it refuses comes back as an error."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from pagewright.sources import remote
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/a.html" else 404)
+            self.send_header("Content-Type", "text/html")
+            self.end_headers()
+            self.wfile.write(b"<p>It was fetched from here.</p>")
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"partitions": [{"type": "Title", "text": body["filename"]}]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    got = remote.fetch(spark.createDataFrame([(1, base + "/a.html"), (2, base + "/no")], "doc_id long, url string"))
+    typed = T.detect(got.withColumn("path", F.col("url")), "content_type")
+    assert {r.doc_id: (r.filetype, r.error is None) for r in typed.collect()} == {1: ("HTML", True), 2: ("EMPTY", False)}
+    files = spark.createDataFrame([(7, "/x/n.txt", bytearray(b"x"))], "doc_id long, path string, content binary")
+    assert [(r.doc_id, r.type, r.text) for r in remote.partition_via_api(files, base).collect()] == [(7, "Title", "n.txt")]
+    server.shutdown()
+    with pytest.raises(ValueError):
+        remote.translation_model("xx")
+    with pytest.raises(NotImplementedError):
+        remote.translate("x")
