@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from . import text as X
 
 _STATES = (
-    "Alabama Alaska Arizona Arkansas California Colorado Connecticut Delaware Florida Georgia Hawaii Idaho Illinois Indiana Iowa Kansas Kentucky Louisiana Maine Maryland Massachusetts "
-    "Michigan Minnesota Mississippi Missouri Montana Nebraska Nevada New_Hampshire New_Jersey New_Mexico New_York North_Carolina North_Dakota Ohio Oklahoma Oregon Pennsylvania "
-    "Rhode_Island South_Carolina South_Dakota Tennessee Texas Utah Vermont Virginia Washington West_Virginia Wisconsin Wyoming"
+    "Iowa Utah Ohio Maine Idaho Texas Nevada Alaska Hawaii Oregon Kansas Florida Georgia Alabama Indiana Montana Arizona Wyoming Vermont Virginia Nebraska "
+    "Oklahoma Maryland Delaware Missouri New_York Michigan Colorado Arkansas Illinois Kentucky Louisiana Minnesota Tennessee Wisconsin California "
+    "Washington New_Mexico New_Jersey Mississippi Connecticut Pennsylvania North_Dakota South_Dakota Rhode_Island West_Virginia New_Hampshire Massachusetts "
+    "North_Carolina South_Carolina "
 ).split()
 _CODES = "AK AL AR AS AZ CA CO CT DC DE FL FM GA GU HI IA ID IL IN KS KY LA MA MD ME MH MI MN MO MP MS MT NC ND NE NH NJ NM NV NY OH OK OR PA PR PW RI SC SD TN TX UT VA VI VT WA WI WV WY".split()
 #: City, state or its code, five digits. Alabama and Wyoming count as well.
-CITY_STATE_ZIP = r"(?i)^\b(?:[A-Z][a-z.-]{1,15} ?){1,5},\s?(?:" + "|".join(x.replace("_", "[ ]") for x in _STATES + _CODES) + r")(?:, |\s)?\b\d{5}(?:-\d{4})?\b"
+CITY_STATE_ZIP = r"(?i)^\b(?:[A-Z][a-z.-]{1,15} ?){1,5},\s?(?:" + "|".join(x.replace("_", "[ ]") for x in sorted(_STATES, key=len, reverse=True) + _CODES) + r")(?:, |\s)?\b\d{5}(?:-\d{4})?\b"
 _VERBS = (
     "am is are was were be been being do does did done have has had can could will would shall should may might must go goes went gone get gets got make makes made take takes took taken "
     "see sees saw seen say says said know knows knew known think thinks thought come comes came give gives gave given find finds found tell tells told become becomes became leave left feel felt "

@@ -159,6 +159,21 @@ def label_box(elements: DataFrame, url_prefix: str, external_ids: Column | None
     return elements.select("doc_id", "ord", F.concat(F.lit(url_prefix.rstrip("/") + "/"), ident, F.lit(".txt")).alias("data"), checked.alias("attachments"), ident.alias("externalId"))
 
 
+def write_texts(elements: DataFrame, folder: str) -> None:
+    """A file ``<element_id>.txt`` for each element, in a folder that all executors share. Ids stand for texts, so a
+    task that runs twice writes the same again."""
+
+    def write(rows) -> None:  # noqa: ANN001
+        import os
+
+        os.makedirs(folder, exist_ok=True)
+        for r in rows:
+            with open(os.path.join(folder, f"{r.element_id}.txt"), "w", encoding="utf-8") as f:
+                f.write(r.text or "")
+
+    elements.select("element_id", "text").dropDuplicates(["element_id"]).foreachPartition(write)
+
+
 LABEL_STUDIO_TYPES = (
     "brush brushlabels choices datetime ellipse ellipselabels hypertextlabels keypoint keypointlabels labels number paragraphlabels polygon polygonlabels ranker rating rectangle rectanglelabels taxonomy textarea timeserieslabels"
 ).split()
