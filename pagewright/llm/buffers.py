@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE = 1 << 20
@@ -154,18 +155,19 @@ def shards_of(spark: SparkSession) -> int:
     return max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-PACKED = "shard int, packed binary"
+PACKED = "shard int, kind int, packed binary"
 
 
-def pack(shard: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """One row per shard present: the columns of its records, each as one run of bytes, behind their count."""
+def pack(shard: np.ndarray, columns: list[np.ndarray], kind: int = 0) -> pa.RecordBatch:
+    """One row per shard present: the columns of its records, each as one run of bytes, behind their count. ``kind``
+    tells records of different columns apart."""
     order = np.argsort(shard, kind="stable")
     sh = shard[order]
     cuts = np.flatnonzero(np.r_[True, sh[1:] != sh[:-1]]) if len(sh) else np.zeros(0, np.int64)
     cols = [c[order] for c in columns]
     ends = np.r_[cuts[1:], len(sh)]
     blobs = [np.int64(e - s).tobytes() + b"".join(c[s:e].tobytes() for c in cols) for s, e in zip(cuts, ends)]
-    return pa.RecordBatch.from_arrays([pa.array(sh[cuts].astype(np.int32), pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "packed"])
+    return pa.RecordBatch.from_arrays([pa.array(sh[cuts].astype(np.int32), pa.int32()), pa.array(np.full(len(cuts), kind, np.int32)), pa.array(blobs, pa.binary())], names=["shard", "kind", "packed"])
 
 
 def unpack(blobs: pa.ChunkedArray | pa.Array, kinds: list) -> list[np.ndarray]:
@@ -180,6 +182,11 @@ def unpack(blobs: pa.ChunkedArray | pa.Array, kinds: list) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds)]
 
 
+def of_kind(t: pa.Table, kind: int) -> pa.ChunkedArray:
+    """The blobs of a kind in a shard's table."""
+    return t.column("packed").filter(pc.equal(t.column("kind"), kind))
+
+
 def narrow(df: DataFrame, *cols: str) -> DataFrame:
     """Only the named columns, by exact name, so that other columns can't clash."""
     return df.select(*[df[f"`{c}`"] for c in cols])

@@ -4,7 +4,7 @@ A gear hash rolls over the text's bytes, h = (h << 1) + G[byte] in 16 bits, so i
 it falls below a bound, a chunk ends. Chunk ends therefore depend on the bytes around them alone: text inserted before
 a passage shifts the passage's chunks but doesn't change them. Chunks are deduplicated by a 64-bit digest. The digests
 go to shards packed (one row for each shard and slice of documents); a shard sorts them and answers with the chunks
-that several documents hold. A document's neighbouring repeated chunks make a span, and spans of ``MIN_SPAN`` bytes
+that several documents hold; what a group of documents can tell by itself is settled there. A document's neighbouring repeated chunks make a span, and spans of ``MIN_SPAN`` bytes
 or more are passages that repeat. A chunk is kept where it comes first: in the document with the least id.
 
 All 16 shifted additions of the rolling hash are done by doubling, in four passes over the bytes of a slice.
@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import PACKED, U64, flat, ids_of, pack, shards_of, ship, slices, span_hashes, unpack
+from .buffers import PACKED, U64, flat, ids_of, mix, of_kind, pack, shards_of, ship, slices, span_hashes, unpack
 
 #: Mean length of a chunk, and the length of the spans that count, in bytes.
 MEAN, MIN_SPAN = 24, 160
 #: A chunk is cut at this length even where the hash finds no end.
 LONGEST = 1024
 GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
-SPANS = "doc_id long, start long, length long, n_chunks int, kept boolean, first_doc_id long"
+SPANS = "doc_id long, start long, length long, n_chunks int, kept boolean"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -62,38 +62,70 @@ def chunk(data: np.ndarray, off: np.ndarray, mean: int = MEAN) -> tuple[np.ndarr
     return starts, ends
 
 
+SETTLED = 1
+#: Bytes of text whose chunks are settled together.
+GROUP = 8 << 20
+
+
+def settle(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a group of documents can tell by itself: a chunk that several of them hold repeats, and in all but the one
+    with the least id it isn't the first. Only that one's records are sent, so however common a chunk is, its shard
+    gets no more than one document's records a group.
+
+    (positions to send, for every position whether its chunk is known to repeat, positions that are settled)."""
+    order = np.lexsort((d, h))
+    at = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[at, len(h)])
+    sd = d[order]
+    last = at + size - 1
+    repeats = np.repeat(sd[at] != sd[last], size) if len(h) else np.zeros(0, bool)
+    later = repeats & (sd != np.repeat(sd[at], size)) if len(h) else repeats
+    known = np.zeros(len(h), bool)
+    known[order] = repeats
+    return np.sort(order[~later]), known, np.sort(order[later])
+
+
 def repeated(docs: DataFrame, id_col: str, text_col: str, mean: int = MEAN) -> DataFrame:
-    """The chunks that two documents or more hold, packed by document and shard: starts, ends, first document of each."""
+    """The chunks that two documents or more hold, packed by document and shard: starts, ends, whether first here."""
     shards = shards_of(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off, _ = flat(b.column(1))
             ids, _ = ids_of(b.column(0))
-            for i, j in slices(off, 4 << 20):
-                s, e = chunk(data, off[i : j + 1], mean)
-                h = span_hashes(data, s, e)
-                d = np.searchsorted(off[i : j + 1], s, "right") - 1
-                o = off[i:j][d]
-                yield pack((h % U64(shards)).astype(np.int32), [h, ids[i:j][d], (s - o).astype(np.uint32), (e - s).astype(np.uint16)])
+            for i, j in slices(off, GROUP):
+                parts = []
+                for x, y in slices(off[i : j + 1]):
+                    x, y = i + x, i + y
+                    s, e = chunk(data, off[x : y + 1], mean)
+                    d = np.searchsorted(off[x : y + 1], s, "right") - 1
+                    parts.append((span_hashes(data, s, e), ids[x:y][d], (s - off[x:y][d]).astype(np.uint32), (e - s).astype(np.uint16)))
+                h, d, s, n = (np.concatenate(c) for c in zip(*parts))
+                sent, known, later = settle(h, d)
+                yield pack((h[sent] % U64(shards)).astype(np.int32), [h[sent], d[sent], s[sent], n[sent], known[sent]])
+                if len(later):
+                    yield pack((mix(d[later]) % U64(shards)).astype(np.int32), [d[later], s[later], n[later]], SETTLED)
 
     def answer(t: pa.Table) -> pa.Table:
-        h, d, s, n = unpack(t.column("packed"), [U64, np.int64, np.uint32, np.uint16])
+        h, d, s, n, known = unpack(of_kind(t, 0), [U64, np.int64, np.uint32, np.uint16, bool])
         order = np.argsort(h, kind="stable")
         h = h[order]
-        new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
-        group = np.flatnonzero(new)
-        d = d[order]
+        group = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        d, known = d[order], known[order]
         lo, hi = (np.minimum.reduceat(d, group), np.maximum.reduceat(d, group)) if len(h) else (d, d)
+        several = (lo != hi) | np.maximum.reduceat(known, group) if len(h) else known
         size = np.diff(np.r_[group, len(h)])
-        many = np.repeat(lo != hi, size)
-        first = np.repeat(lo, size)[many]
+        many = np.repeat(several, size)
+        own = (d == np.repeat(lo, size))[many]
         sel = order[many]
-        d, s, n = d[many], s[sel], n[sel]
+        late_d, late_s, late_n = unpack(of_kind(t, SETTLED), [np.int64, np.uint32, np.uint16])
+        d = np.r_[d[many], late_d]
+        s, n = np.r_[s[sel], late_s].astype(np.int64), np.r_[n[sel], late_n].astype(np.int64)
+        own = np.r_[own, np.zeros(len(late_d), bool)]
         by = np.argsort(d, kind="stable")
-        d, s, n, first = d[by], s[by].astype(np.int64), n[by].astype(np.int64), first[by]
+        d, s, n, own = d[by], s[by], n[by], own[by]
         cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, np.int64)
-        blobs = [np.stack([s[a:b], s[a:b] + n[a:b], first[a:b]]).tobytes() for a, b in zip(cut, np.r_[cut[1:], len(d)])]
+        blobs = [np.stack([s[a:b], s[a:b] + n[a:b], own[a:b].astype(np.int64)]).tobytes() for a, b in zip(cut, np.r_[cut[1:], len(d)])] if len(d) else []
         return pa.table({"doc_id": pa.array(d[cut], pa.int64()), "chunks": pa.array(blobs, pa.binary())})
 
     src = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].cast("string").alias("t")).filter("i is not null and t is not null")
@@ -102,8 +134,7 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, mean: int = MEAN) -> D
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN, min_span: int = MIN_SPAN) -> DataFrame:
     """One row for each passage of a document that repeats in other documents: doc_id, start and length in bytes of
-    the text's UTF-8, n_chunks, whether it is kept (no earlier document holds it), first_doc_id (the least id of a
-    document that holds any chunk of it).
+    the text's UTF-8, n_chunks, and whether it is kept (no document with a lesser id holds its chunks).
 
     A span is a run of neighbouring chunks that several ids hold, all first here or all first elsewhere, in a run of
     both kinds of ``min_span`` bytes or more. Repeats within one document don't count. Null ids, null and empty texts
@@ -115,30 +146,28 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean:
         for b in batches:
             out: list[tuple] = []
             for doc, blobs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s, e, first = (np.concatenate(x) for x in zip(*(np.frombuffer(x, np.int64).reshape(3, -1) for x in blobs)))
-                out += _runs(doc, s, e, first, min_span)
-            cols = list(zip(*out)) if out else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "n_chunks", "kept", "first_doc_id"])
+                s, e, own = (np.concatenate(x) for x in zip(*(np.frombuffer(x, np.int64).reshape(3, -1) for x in blobs)))
+                out += _runs(doc, s, e, own == 1, min_span)
+            cols = list(zip(*out)) if out else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "n_chunks", "kept"])
 
     return r.groupBy("doc_id").agg(F.collect_list("chunks").alias("chunks")).mapInArrow(run, SPANS)
 
 
-def _runs(doc: int, s: np.ndarray, e: np.ndarray, first: np.ndarray, min_span: int) -> list[tuple]:
+def _runs(doc: int, s: np.ndarray, e: np.ndarray, own: np.ndarray, min_span: int) -> list[tuple]:
     order = np.lexsort((e, s))
-    s, e, first = s[order], e[order], first[order]
+    s, e, own = s[order], e[order], own[order]
     one = np.r_[True, (s[1:] != s[:-1]) | (e[1:] != e[:-1])]
-    s, e, first = s[one], e[one], first[one]
-    new = np.r_[True, s[1:] != e[:-1]]
-    start = np.flatnonzero(new)
+    s, e, own = s[one], e[one], own[one]
+    start = np.flatnonzero(np.r_[True, s[1:] != e[:-1]])
     stop = np.r_[start[1:], len(s)]
     long = e[stop - 1] - s[start] >= min_span
     out = []
     for a, b in zip(start[long], stop[long]):
-        own = first[a:b] == doc
-        part = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        part = np.flatnonzero(np.r_[True, own[a + 1 : b] != own[a : b - 1]])
         for p, q in zip(part, np.r_[part[1:], b - a]):
-            out.append((doc, int(s[a + p]), int(e[a + q - 1] - s[a + p]), int(q - p), bool(own[p]), int(first[a + p : a + q].min())))
+            out.append((doc, int(s[a + p]), int(e[a + q - 1] - s[a + p]), int(q - p), bool(own[a + p])))
     return out
 
 

@@ -4,7 +4,8 @@ Line hashes are sent to shards (a shard is a residue of the hash), packed: one r
 documents. A shard builds a minimal perfect hash over its distinct line hashes; it numbers them without holding
 them, and arrays by that number keep a 16-bit fingerprint, the number of occurrences and the first document. The
 documents' packed hashes probe these arrays in the same shard, all at once; there is no join of lines. What comes
-back is, by document, the hashes of the lines that go; documents without any aren't mentioned.
+back is, by document, the hashes of the lines that go; documents without any aren't mentioned. Lines that a batch of
+documents repeats often enough by itself are settled there but for one document, so a shard isn't flooded by them.
 
 The hash has levels: a level's bit array marks the places that exactly one of its keys takes, the keys that collide
 go to the next level, and a key's number is the rank of its bit (Limasset et al., 2017).
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import PACKED, U64, flat, gather, ids_of, mix, pack, shards_of, ship, slices, span_hashes, string_array, unpack
+from .buffers import PACKED, U64, flat, gather, ids_of, mix, of_kind, pack, shards_of, ship, slices, span_hashes, string_array, unpack
 
 #: A line that occurs so many times in the corpus keeps only its first occurrence.
 MIN_COUNT = 4
@@ -133,6 +134,36 @@ def line_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, doc, h
 
 
+SETTLED = 1
+
+
+def settle(h: np.ndarray, d: np.ndarray, own: np.ndarray, min_count: int) -> tuple[np.ndarray, ...]:
+    """What a batch can tell by itself: a line that has ``min_count`` occurrences here goes from every document but the
+    batch's least, so only that one's record is sent, with the batch's total. However common a line is, its shard gets
+    one record of it a batch.
+
+    (hashes, documents, occurrences in the document, occurrences that the record stands for) to send, and (hashes,
+    documents) of the lines that are settled."""
+    order = np.lexsort((d, h))
+    h, d, own = h[order], d[order], own[order]
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[at, len(h)])
+    total = np.add.reduceat(own, at) if len(h) else own
+    hot = np.repeat(total >= min_count, size)
+    least = np.repeat(d[at], size)
+    lead = np.zeros(len(h), bool)
+    lead[at] = True
+    first = hot & (d == least)
+    same = first & ~lead  # rows with the batch's least id beside the one that is sent
+    if same.any():  # it says whether any of them has the line twice
+        own = own.copy()
+        np.maximum.at(own, np.repeat(at, size)[same], own[same])
+    send = ~hot | lead
+    stands = np.where(hot, np.repeat(total, size), own)
+    gone = hot & (d != least)
+    return h[send], d[send], own[send], stands[send], h[gone], d[gone]
+
+
 def repeats(docs: DataFrame, id_col: str, text_col: str, min_count: int) -> DataFrame:
     """By document (id; the largest for null): hashes of lines to drop, and of lines to keep once."""
     shards = shards_of(docs.sparkSession)
@@ -141,33 +172,36 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, min_count: int) -> Data
         for b in batches:
             data, off, _ = flat(b.column(1))
             ids, _ = ids_of(b.column(0))
+            parts = []
             for i, j in slices(off):
                 *_, doc, h = line_hashes(data, off[i : j + 1])
                 doc, h = doc[h != 0], h[h != 0]
                 order = np.lexsort((h, doc))
                 doc, h = doc[order], h[order]
-                new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
-                at = np.flatnonzero(new)
-                n = np.diff(np.r_[at, len(h)])
-                h, d = h[at], ids[i:j][doc[at]]
-                yield pack((h % U64(shards)).astype(np.int32), [h, d, n.astype(np.uint32)])
+                at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
+                parts.append((h[at], ids[i:j][doc[at]], np.diff(np.r_[at, len(h)])))
+            h, d, own = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            h, d, own, total, gone_h, gone_d = settle(h, d, own, min_count)
+            yield pack((h % U64(shards)).astype(np.int32), [h, d, total.astype(np.uint32), own.astype(np.uint32)])
+            if len(gone_h):
+                yield pack((mix(gone_d) % U64(shards)).astype(np.int32), [gone_h, gone_d], SETTLED)
 
     def answer(t: pa.Table) -> pa.Table:
-        h, d, n = unpack(t.column("packed"), [U64, np.int64, np.uint32])
-        counts, first = LineIndex(h, d, n).probe(h)
+        h, d, total, own = unpack(of_kind(t, 0), [U64, np.int64, np.uint32, np.uint32])
+        counts, first = LineIndex(h, d, total).probe(h)
         many = counts >= min_count
         drop = many & (d != first)
-        once = many & (d == first) & (n > 1)
-        out_d, out_drop, out_once = [], [], []
+        once = many & (d == first) & (own > 1)
         sel = np.flatnonzero(drop | once)
-        sel = sel[np.argsort(d[sel], kind="stable")]
-        cut = np.flatnonzero(np.r_[True, d[sel][1:] != d[sel][:-1]]) if len(sel) else np.zeros(0, np.int64)
-        for s, e in zip(cut, np.r_[cut[1:], len(sel)]):
-            k = sel[s:e]
-            out_d.append(int(d[k[0]]))
-            out_drop.append(h[k[drop[k]]].tobytes())
-            out_once.append(h[k[once[k]]].tobytes())
-        return pa.table({"_pw_doc": pa.array(out_d, pa.int64()), "_pw_gone": pa.array(out_drop, pa.binary()), "_pw_once": pa.array(out_once, pa.binary())})
+        gone_h, gone_d = unpack(of_kind(t, SETTLED), [U64, np.int64])
+        h, d, drop = np.r_[h[sel], gone_h], np.r_[d[sel], gone_d], np.r_[drop[sel], np.ones(len(gone_h), bool)]
+        order = np.argsort(d, kind="stable")
+        h, d, drop = h[order], d[order], drop[order]
+        cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, np.int64)
+        spans = list(zip(cut, np.r_[cut[1:], len(d)])) if len(d) else []
+        gone = [h[s:e][drop[s:e]].tobytes() for s, e in spans]
+        kept = [h[s:e][~drop[s:e]].tobytes() for s, e in spans]
+        return pa.table({"_pw_doc": pa.array(d[cut], pa.int64()), "_pw_gone": pa.array(gone, pa.binary()), "_pw_once": pa.array(kept, pa.binary())})
 
     src = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].cast("string").alias("t")).filter("t is not null")
     parts = src.mapInArrow(send, PACKED).groupBy("shard").applyInArrow(answer, "_pw_doc long, _pw_gone binary, _pw_once binary")

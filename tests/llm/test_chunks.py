@@ -67,7 +67,7 @@ def brute(rows, min_span=C.MIN_SPAN):
                 part = []
                 for c in [*run, None]:
                     if part and (c is None or (c[2] == d) != (part[-1][2] == d)):
-                        out.add((d, part[0][0], part[-1][1] - part[0][0], len(part), part[0][2] == d, min(p[2] for p in part)))
+                        out.add((d, part[0][0], part[-1][1] - part[0][0], len(part), part[0][2] == d))
                         part = []
                     part.append(c)
     return out

@@ -56,6 +56,18 @@ def test_random(spark):
     assert run(spark, rows, 4) == brute(rows, 4)
 
 
+def test_settling():
+    """What a batch settles by itself is what a count over all would say."""
+    r = np.random.default_rng(9)
+    h, d = r.integers(0, 5, 400).astype(np.uint64), r.integers(0, 60, 400)
+    pairs = sorted(set(zip(h.tolist(), d.tolist())))
+    h, d = (np.array(x) for x in zip(*pairs))
+    own = r.integers(1, 3, len(h))
+    sh, sd, _, stands, gh, gd = L.settle(h.astype(np.uint64), d, own, 4)
+    assert len(sh) == 5 and stands.sum() == own.sum()
+    assert {(a, b) for a, b in zip(gh.tolist(), gd.tolist())} == {(a, b) for a, b in pairs if b != min(y for x, y in pairs if x == a)}
+
+
 def test_stage(spark):
     rows = [(1, "s\nown", "en", "q", 5), (2, "s", "en", "q", 1), (3, "s\nmine", "en", "q", 6), (4, "s\n", "en", "q", 2), (5, "", "en", "q", 0), (6, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
