@@ -30,8 +30,8 @@ from ..session import ensure_checkpoint_dir
 from .buffers import PACKED, U64, as_array, flat, mix, pack, shards_of, ship, slices, span_hashes, unpack
 
 N = 3
-THRESHOLD = 0.7
-BANDS, ROWS = 20, 4
+THRESHOLD = 0.55
+BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-3
@@ -360,5 +360,5 @@ WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\
      n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
      p AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS common FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2)
 SELECT doc_a, doc_b, common / CAST(u.n + v.n - common AS DOUBLE) AS jaccard
-FROM p JOIN n u ON u.doc_id = doc_a JOIN n v ON v.doc_id = doc_b WHERE common / CAST(u.n + v.n - common AS DOUBLE) >= 0.7
+FROM p JOIN n u ON u.doc_id = doc_a JOIN n v ON v.doc_id = doc_b WHERE common / CAST(u.n + v.n - common AS DOUBLE) >= 0.55
 """
