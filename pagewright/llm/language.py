@@ -148,15 +148,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].cast("string").alias("t")).filter("t is not null").join(F.broadcast(ids), "id").select("k", "t")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(names), dim))
+        sums, any_rows = np.zeros((len(names), dim)), False
         for b in batches:
+            any_rows |= b.num_rows > 0
             k = as_array(b.column(0)).to_numpy(zero_copy_only=False)
             data, off, _ = flat(b.column(1))
             for i, j in slices(off, rows=256):
                 v = text_vectors(data, off[i : j + 1], dim, order)
                 norm = np.linalg.norm(v, axis=1)
                 np.add.at(sums, k[i:j], np.round(v / np.where(norm > 0, norm, 1)[:, None] * (1 << 40)))  # whole numbers: any order of adding gives the same
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+        if any_rows:  # most tasks hold no row of the sample and send nothing
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
     sums = np.zeros((len(names), dim))
     for r in rows.mapInArrow(bundle, "sums binary").collect():
