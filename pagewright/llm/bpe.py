@@ -9,8 +9,9 @@ A text is cut into words by the vocabulary's pattern. For each distinct word of
 3. words with an incompatible pair, and only those, are merged exactly, by rank, with a heap.
 
 A sequence of tokens whose neighbours are all compatible is the encoding that merging by rank gives, so the result
-is exact. Words that a worker has seen keep their tokens in a table, which is emptied at ``CACHE`` words; a
-word is known there by a 64-bit hash.
+is exact. Words that a worker has seen keep their tokens in a table, which is emptied at ``CACHE`` words or
+``CACHE_BYTES`` bytes. A word is looked up there by a 64-bit hash and known by its bytes, which are compared; words whose hash is
+another word's are encoded by themselves.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .buffers import BYTE, as_array, flat, gather, mix, powers, ship, slices, st
 #: What the cutting below follows, as a regular expression.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 CACHE = 400_000
+CACHE_BYTES = 32 << 20
 SLOTS = 1 << 20
 NEVER = np.int32(1 << 30)
 RESULT = "doc_id long, n_tokens int, token_ids array<int>"
@@ -149,6 +151,7 @@ class Bpe:
         self.seen = Table(SLOTS)
         self.n_words = 0
         self.counts, self.firsts, self.all = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.spell, self.starts = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # the bytes of the words
 
     def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that each pair merges to, or NEVER."""
@@ -311,25 +314,28 @@ class Bpe:
         v = BYTE[whole]
         v *= powers(int((ends - starts).max()))[within]
         keys = mix(np.add.reduceat(v, starts) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        if self.n_words > CACHE:
+        if self.n_words > CACHE or len(self.spell) > CACHE_BYTES:
             self.clear()
         ids = self.seen.get(keys)
         missing = np.flatnonzero(ids < 0)
-        spare = None
+        raw = whole.tobytes()
         if len(missing):
             new, where, back = np.unique(keys[missing], return_index=True, return_inverse=True)
-            raw = whole.tobytes()
             words = [raw[s:e] for s, e in zip(starts[missing[where]].tolist(), ends[missing[where]].tolist())]
-            tokens, counts = self.encode_words(words)
-            numbers = np.arange(self.n_words, self.n_words + len(new), dtype=np.int32)
-            self.all, self.counts = np.concatenate([self.all, tokens]), np.concatenate([self.counts, counts])
-            self.firsts = np.r_[0, np.cumsum(self.counts)]
-            self.n_words += len(new)
+            numbers = self._learn(words)
             ids[missing] = numbers[back]
             if self.n_words < SLOTS * 3 // 4:
                 self.seen.put(new, numbers)
-            else:
-                spare = True
+        # a word is the table's only if it is spelt alike
+        lens = ends - starts
+        shift = np.repeat(self.starts[ids] - starts, lens)
+        same_length = np.diff(self.starts)[ids] == lens
+        alike = self.spell[np.minimum(shift + np.arange(len(whole)), len(self.spell) - 1)] == whole
+        wrong = np.flatnonzero(~(same_length & np.logical_and.reduceat(alike, starts)))
+        if len(wrong):
+            own: dict[bytes, int] = {}
+            which = [own.setdefault(raw[starts[w] : ends[w]], len(own)) for w in wrong.tolist()]
+            ids[wrong] = self._learn(list(own))[which]
         counts, firsts = self.counts[ids], self.firsts[ids]
         done = np.cumsum(counts)
         where = np.ones(int(done[-1]), np.int64)
@@ -337,10 +343,21 @@ class Bpe:
         where[done[:-1]] = firsts[1:] - (firsts[:-1] + counts[:-1]) + 1
         out = self.all[np.cumsum(where)]
         total = np.r_[0, done][np.searchsorted(starts, off - off[0])]
-        if spare:
+        if self.n_words >= SLOTS * 3 // 4:
             self.clear()
         return out, np.diff(total)
 
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of new words, whose tokens and bytes are kept from here on."""
+        tokens, counts = self.encode_words(words)
+        numbers = np.arange(self.n_words, self.n_words + len(words), dtype=np.int32)
+        self.all, self.counts = np.concatenate([self.all, tokens]), np.concatenate([self.counts, counts])
+        self.firsts = np.r_[0, np.cumsum(self.counts)]
+        self.spell = np.concatenate([self.spell, np.frombuffer(b"".join(words), np.uint8)])
+        self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum([len(w) for w in words])]
+        self.n_words += len(words)
+        return numbers
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all documents, their offsets); ids outside the vocabulary have no bytes."""
         ids = ids.astype(np.int64)

@@ -52,6 +52,37 @@ def test_speculation_is_checked(coder):
         assert ok == (own.tolist() == coder.merge(w))
 
 
+@pytest.mark.parametrize("hashed", [True, False])
+def test_words_are_known_by_their_bytes(coder, reference, monkeypatch, hashed):
+    """Thue-Morse words have equal hashes; with ``hashed`` off, all words of a length do. Each still gets its own tokens."""
+    coder.clear()
+    if not hashed:
+        monkeypatch.setattr(bpe, "mix", lambda x: np.full(len(x), 5, np.uint64))
+    texts = []
+    for n in (1024, 2048):
+        a = "a"
+        while len(a) < n:
+            a += a.translate(str.maketrans("ab", "ba"))
+        texts += [a, a.translate(str.maketrans("ab", "ba"))]
+    texts += ["one two one six", "one ten two", " five nine one"]
+    for _ in range(2):
+        got, ids, n = encode(coder, texts)
+        assert got == [reference.encode_ordinary(t) for t in texts]
+        data, off = coder.decode(ids, n)
+        assert [data[a:b].tobytes().decode() for a, b in zip(off, off[1:])] == texts
+    coder.clear()
+
+
+def test_very_long_words(coder):
+    """Hundreds of kilobytes without a blank are one word, which is merged exactly."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdefgh") for _ in range(300_000)), "z" * 1_000_000]
+    _, ids, n = encode(coder, texts)
+    data, off = coder.decode(ids, n)
+    assert [data[a:b].tobytes().decode() for a, b in zip(off, off[1:])] == texts
+    assert ids[: n[0]].tolist() == coder.merge(texts[0].encode())
+
+
 def test_cache_is_emptied(coder, reference, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
     for t in ("one two three four five", "six seven one two"):
