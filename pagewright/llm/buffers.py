@@ -12,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import ensure_checkpoint_dir, write_file
 
 SLICE = 1 << 20
 U64 = np.uint64
@@ -91,30 +94,36 @@ def powers(n: int) -> np.ndarray:
     return p
 
 
+#: Bytes that are hashed as one block, and a random number for each byte value at each place in it.
+HASH_BLOCK = 64
+_CELL = np.random.default_rng(64).integers(0, 1 << 64, HASH_BLOCK * 256, dtype=np.uint64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[starts[i]:ends[i]], spans ordered and disjoint: a polynomial over random byte values,
-    by position in the span, mixed with the length."""
+    """64-bit hashes of data[starts[i]:ends[i]], spans ordered and disjoint. A block of 64 bytes is the mixed sum of the
+    random numbers of its bytes at their places, and a span the mixed sum of its blocks, each mixed with its number, so
+    no pattern of repeats makes sums meet as it does with a polynomial of a power of two."""
     if not len(starts):
         return np.zeros(0, U64)
     lens = ends - starts
     out = np.zeros(len(starts), U64)
-    some = lens > 0
+    some = np.flatnonzero(lens > 0)
     s, length = starts[some], lens[some]
     if len(s):
-        total = int(length.sum())
-        first = np.zeros(len(s), np.int64)
-        np.cumsum(length[:-1], out=first[1:])
-        where = np.ones(total, np.int64)
-        where[0] = s[0]
-        where[first[1:]] = s[1:] - (s[:-1] + length[:-1]) + 1
-        np.cumsum(where, out=where)
-        within = np.ones(total, np.int64)
-        within[0] = 0
-        within[first[1:]] = 1 - length[:-1]
-        np.cumsum(within, out=within)
-        v = BYTE[data[where]]
-        v *= powers(int(length.max()))[within]
-        out[some] = np.add.reduceat(v, first)
+        blocks = (length + HASH_BLOCK - 1) // HASH_BLOCK
+        span = np.repeat(np.arange(len(s)), blocks)
+        number = np.arange(len(span)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        at = s[span] + number * HASH_BLOCK
+        size = np.minimum(length[span] - number * HASH_BLOCK, HASH_BLOCK)
+        first = np.cumsum(size) - size
+        total = int(size.sum())
+        place = np.arange(total, dtype=np.int64)
+        within = place - np.repeat(first, size)
+        place += np.repeat(at - first, size)
+        within <<= 8
+        within |= data[place]
+        sums = np.add.reduceat(_CELL[within], first)
+        out[some] = np.add.reduceat(mix(sums + (number + 1).astype(U64) * BASE), np.cumsum(blocks) - blocks)
     return mix(out + lens.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
@@ -140,19 +149,76 @@ def string_array(data: np.ndarray, off: np.ndarray, valid: np.ndarray | None = N
     return pa.Array.from_buffers(pa.string(), n, [mask, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
+def archive() -> bytes:
+    """This package as a zip archive."""
+    import io
     import os
+    import zipfile
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    return out.getvalue()
 
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package: on one machine from where the driver has it, on a cluster as an archive
+    in the shared folder, which executors fetch."""
+    import os
 
-def shards_of(spark: SparkSession) -> int:
-    """Shards of a packed shuffle: four to a shuffle partition (the setting that follows the data), so partitions are even."""
-    return max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        env = sc.environment
+        if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    elif getattr(sc, "_pagewright_shipped", None) is None:
+        path = f"{ensure_checkpoint_dir(spark)}/pagewright.zip"
+        write_file(spark, path, archive())
+        sc.addPyFile(path)
+        sc._pagewright_shipped = path
+
+
+#: Bytes of files that make one shard of a packed shuffle; a shard's records are held by one Python worker.
+SHARD_BYTES = 8 << 20
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """The size of what a frame is read from, as its sources tell it without a job; None if one of them doesn't."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    return sum(sizes) if all(x < 1 << 60 for x in sizes) else None
+
+
+def shards_of(docs: DataFrame) -> tuple[int, int]:
+    """(shards, partitions) of a packed shuffle of what is in ``docs``: both follow its size, so that a shard's records
+    stay a few MB whatever the size of the corpus; four shards to a partition make these even. Where the
+    sources don't tell their size, that of the rows is added up."""
+    spark = docs.sparkSession
+    size = input_bytes(docs)
+    if size is None:
+        strings = [c for c, t in docs.dtypes if t == "string"]
+        size = docs.agg(F.sum(F.lit(8) + sum((F.coalesce(F.octet_length(docs[f"`{c}`"]), F.lit(0)) for c in strings), F.lit(0))).alias("n")).first()["n"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * SHARD_BYTES)))
+    return 4 * parts, parts
+
+
+def packed_groups(df: DataFrame, parts: int):
+    """Groups of shards over as many partitions as their number asks for."""
+    return df.repartition(parts, "shard").groupBy("shard")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column has."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 PACKED = "shard int, kind int, packed binary"

@@ -3,9 +3,11 @@
 A gear hash rolls over the text's bytes, h = (h << 1) + G[byte] in 16 bits, so it depends on the last 16 bytes; where
 it falls below a bound, a chunk ends. Chunk ends therefore depend on the bytes around them alone: text inserted before
 a passage shifts the passage's chunks but doesn't change them. Chunks are deduplicated by a 64-bit digest. The digests
-go to shards packed (one row for each shard and slice of documents); a shard sorts them and answers with the chunks
-that several documents hold; what a group of documents can tell by itself is settled there. A document's neighbouring repeated chunks make a span, and spans of ``MIN_SPAN`` bytes
-or more are passages that repeat. A chunk is kept where it comes first: in the document with the least id.
+go to shards packed (one row for each shard and slice of documents); a shard sorts them and sends the chunks that
+several documents hold on to shards of documents, packed as well; what a group of documents can tell by itself is settled there. A
+document's neighbouring repeated chunks make a span, and spans of ``MIN_SPAN`` bytes or more are passages that repeat. A
+chunk is kept where it comes first: in the document with the least id. Two chunks whose digests meet by
+chance don't make a span, which takes a run of chunks that repeat.
 
 All 16 shifted additions of the rolling hash are done by doubling, in four passes over the bytes of a slice.
 """
@@ -19,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import PACKED, U64, flat, ids_of, mix, of_kind, pack, shards_of, ship, slices, span_hashes, unpack
+from .buffers import PACKED, U64, flat, fresh, ids_of, mix, of_kind, pack, packed_groups, shards_of, ship, slices, span_hashes, unpack
 
-#: Mean length of a chunk, and the length of the spans that count, in bytes.
+#: Mean length of a chunk, and the length of the spans that count, in bytes: shorter repeats are phrases.
 MEAN, MIN_SPAN = 24, 160
-#: A chunk is cut at this length even where the hash finds no end.
+#: A chunk is cut at this length, counted from its start, even where the hash finds no end: in runs of a repeated letter
+#: or the like. Text put in before such a run shifts its chunks but doesn't change them; text put in within it does.
 LONGEST = 1024
 GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
 SPANS = "doc_id long, start long, length long, n_chunks int, kept boolean"
@@ -40,7 +43,7 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk(data: np.ndarray, off: np.ndarray, mean: int = MEAN) -> tuple[np.ndarray, np.ndarray]:
+def chunk(data: np.ndarray, off: np.ndarray, mean: int = MEAN, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) of the chunks of documents, in order; they cover all bytes. A document's end ends a chunk."""
     lo, hi = int(off[0]), int(off[-1])
     cut = np.zeros(hi - lo + 1, bool)
@@ -53,11 +56,11 @@ def chunk(data: np.ndarray, off: np.ndarray, mean: int = MEAN) -> tuple[np.ndarr
     if len(at) and at[0] != lo:
         at = np.r_[lo, at]
     starts, ends = at[:-1], at[1:]
-    if len(starts) and (ends - starts).max() > LONGEST:
-        n = (ends - starts + LONGEST - 1) // LONGEST
+    if len(starts) and (ends - starts).max() > longest:
+        n = (ends - starts + longest - 1) // longest
         k = np.arange(int(n.sum())) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
-        s = np.repeat(starts, n) + k * LONGEST
-        ends = np.minimum(s + LONGEST, np.repeat(ends, n))
+        s = np.repeat(starts, n) + k * longest
+        ends = np.minimum(s + longest, np.repeat(ends, n))
         starts = s
     return starts, ends
 
@@ -85,29 +88,28 @@ def settle(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.sort(order[~later]), known, np.sort(order[later])
 
 
-def repeated(docs: DataFrame, id_col: str, text_col: str, mean: int = MEAN) -> DataFrame:
-    """The chunks that two documents or more hold, packed by document and shard: starts, ends, whether first here."""
-    shards = shards_of(docs.sparkSession)
+def repeated(docs: DataFrame, id_col: str, text_col: str, mean: int, longest: int, shards: int, parts: int) -> DataFrame:
+    """The chunks that two documents or more hold, packed by shards of documents: document, start, length, whether first here."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off, _ = flat(b.column(1))
             ids, _ = ids_of(b.column(0))
             for i, j in slices(off, GROUP):
-                parts = []
+                found = []
                 for x, y in slices(off[i : j + 1]):
                     x, y = i + x, i + y
-                    s, e = chunk(data, off[x : y + 1], mean)
+                    s, e = chunk(data, off[x : y + 1], mean, longest)
                     d = np.searchsorted(off[x : y + 1], s, "right") - 1
-                    parts.append((span_hashes(data, s, e), ids[x:y][d], (s - off[x:y][d]).astype(np.uint32), (e - s).astype(np.uint16)))
-                h, d, s, n = (np.concatenate(c) for c in zip(*parts))
+                    found.append((span_hashes(data, s, e), ids[x:y][d], (s - off[x:y][d]).astype(np.uint32), (e - s).astype(np.uint32)))
+                h, d, s, n = (np.concatenate(c) for c in zip(*found))
                 sent, known, later = settle(h, d)
                 yield pack((h[sent] % U64(shards)).astype(np.int32), [h[sent], d[sent], s[sent], n[sent], known[sent]])
                 if len(later):
                     yield pack((mix(d[later]) % U64(shards)).astype(np.int32), [d[later], s[later], n[later]], SETTLED)
 
     def answer(t: pa.Table) -> pa.Table:
-        h, d, s, n, known = unpack(of_kind(t, 0), [U64, np.int64, np.uint32, np.uint16, bool])
+        h, d, s, n, known = unpack(of_kind(t, 0), [U64, np.int64, np.uint32, np.uint32, bool])
         order = np.argsort(h, kind="stable")
         h = h[order]
         group = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
@@ -118,64 +120,62 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, mean: int = MEAN) -> D
         many = np.repeat(several, size)
         own = (d == np.repeat(lo, size))[many]
         sel = order[many]
-        late_d, late_s, late_n = unpack(of_kind(t, SETTLED), [np.int64, np.uint32, np.uint16])
+        late_d, late_s, late_n = unpack(of_kind(t, SETTLED), [np.int64, np.uint32, np.uint32])
         d = np.r_[d[many], late_d]
-        s, n = np.r_[s[sel], late_s].astype(np.int64), np.r_[n[sel], late_n].astype(np.int64)
-        own = np.r_[own, np.zeros(len(late_d), bool)]
-        by = np.argsort(d, kind="stable")
-        d, s, n, own = d[by], s[by], n[by], own[by]
-        cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, np.int64)
-        blobs = [np.stack([s[a:b], s[a:b] + n[a:b], own[a:b].astype(np.int64)]).tobytes() for a, b in zip(cut, np.r_[cut[1:], len(d)])] if len(d) else []
-        return pa.table({"doc_id": pa.array(d[cut], pa.int64()), "chunks": pa.array(blobs, pa.binary())})
+        return pa.Table.from_batches([pack((mix(d) % U64(shards)).astype(np.int32), [d, np.r_[s[sel], late_s], np.r_[n[sel], late_n], np.r_[own, np.zeros(len(late_d), bool)]])])
 
     src = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].cast("string").alias("t")).filter("i is not null and t is not null")
-    return src.mapInArrow(send, PACKED).groupBy("shard").applyInArrow(answer, "doc_id long, chunks binary")
+    return packed_groups(src.mapInArrow(send, PACKED), parts).applyInArrow(answer, PACKED)
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN, min_span: int = MIN_SPAN) -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN, min_span: int = MIN_SPAN, longest: int = LONGEST) -> DataFrame:
     """One row for each passage of a document that repeats in other documents: doc_id, start and length in bytes of
     the text's UTF-8, n_chunks, and whether it is kept (no document with a lesser id holds its chunks).
 
     A span is a run of neighbouring chunks that several ids hold, all first here or all first elsewhere, in a run of
     both kinds of ``min_span`` bytes or more. Repeats within one document don't count. Null ids, null and empty texts
-    have no spans. Rows with the same id count as one document, whose chunks are counted once where they start alike."""
+    have no spans. Rows with the same id count as one document, whose chunks are counted once where they start alike; rows
+    that repeat with their id therefore have the spans of one of them. An empty table gives no rows. Texts of any length up
+    to 4 GB are read whole. Other columns, whatever their names, aren't read."""
     ship(docs.sparkSession)
-    r = repeated(docs, id_col, text_col, mean)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for doc, blobs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s, e, own = (np.concatenate(x) for x in zip(*(np.frombuffer(x, np.int64).reshape(3, -1) for x in blobs)))
-                out += _runs(doc, s, e, own == 1, min_span)
-            cols = list(zip(*out)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "n_chunks", "kept"])
-
-    return r.groupBy("doc_id").agg(F.collect_list("chunks").alias("chunks")).mapInArrow(run, SPANS)
-
-
-def _runs(doc: int, s: np.ndarray, e: np.ndarray, own: np.ndarray, min_span: int) -> list[tuple]:
-    order = np.lexsort((e, s))
-    s, e, own = s[order], e[order], own[order]
-    one = np.r_[True, (s[1:] != s[:-1]) | (e[1:] != e[:-1])]
-    s, e, own = s[one], e[one], own[one]
-    start = np.flatnonzero(np.r_[True, s[1:] != e[:-1]])
-    stop = np.r_[start[1:], len(s)]
-    long = e[stop - 1] - s[start] >= min_span
-    out = []
-    for a, b in zip(start[long], stop[long]):
-        part = np.flatnonzero(np.r_[True, own[a + 1 : b] != own[a : b - 1]])
-        for p, q in zip(part, np.r_[part[1:], b - a]):
-            out.append((doc, int(s[a + p]), int(e[a + q - 1] - s[a + p]), int(q - p), bool(own[a + p])))
-    return out
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN, min_span: int = MIN_SPAN) -> DataFrame:
+    shards, parts = shards_of(docs)
+
+    def run(t: pa.Table) -> pa.Table:
+        d, s, n, own = unpack(t.column("packed"), [np.int64, np.uint32, np.uint32, bool])
+        return pa.table(dict(zip(("doc_id", "start", "length", "n_chunks", "kept"), _runs(d, s.astype(np.int64), s.astype(np.int64) + n, own, min_span))))
+
+    return packed_groups(repeated(docs, id_col, text_col, mean, longest, shards, parts), parts).applyInArrow(run, SPANS)
+
+
+def _runs(d: np.ndarray, s: np.ndarray, e: np.ndarray, own: np.ndarray, min_span: int) -> tuple[np.ndarray, ...]:
+    """(document, start, length, number of chunks, whether first here) of the spans of many documents' chunks."""
+    order = np.lexsort((e, s, d))
+    d, s, e, own = d[order], s[order], e[order], own[order]
+    one = np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (e[1:] != e[:-1])] if len(d) else np.zeros(0, bool)
+    d, s, e, own = d[one], s[one], e[one], own[one]
+    if not len(d):
+        return d, s, e, np.zeros(0, np.int32), own
+    opens = np.r_[True, (d[1:] != d[:-1]) | (s[1:] != e[:-1])]
+    at = np.flatnonzero(opens)
+    last = np.r_[at[1:], len(d)] - 1
+    long = np.repeat(e[last] - s[at] >= min_span, np.diff(np.r_[at, len(d)]))
+    part = np.flatnonzero(opens | np.r_[True, own[1:] != own[:-1]])
+    stop = np.r_[part[1:], len(d)]
+    keep = long[part]
+    part, stop = part[keep], stop[keep]
+    return d[part], s[part], e[stop - 1] - s[part], (stop - part).astype(np.int32), own[part]
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN, min_span: int = MIN_SPAN, longest: int = LONGEST) -> DataFrame:
     """The documents with all their columns, without the passages that an earlier document holds. A cut within a
-    character takes the whole character along. Rows with the same id lose the same places."""
-    gone = spans(docs, id_col, text_col, mean, min_span).filter("not kept").groupBy(F.col("doc_id").alias("_pw_doc")).agg(F.collect_list(F.struct("start", "length")).alias("_pw_cut")).hint("shuffle_hash")
-    j = docs.join(gone, docs[f"`{id_col}`"].cast("long") == gone["_pw_doc"], "left").drop("_pw_doc")
+    character takes the whole character along.
+
+    Rows with the same id lose the same places. Null ids, null and empty texts stay as they are, and of texts that are
+    equal under several ids the one with the least id stays. Other columns are carried along whatever their names
+    and nulls; an empty table stays empty."""
+    doc, cut = fresh(docs, "_pw_doc"), fresh(docs, "_pw_cut")
+    gone = spans(docs, id_col, text_col, mean, min_span, longest).filter("not kept").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("start", "length")).alias(cut))
+    j = docs.join(gone, docs[f"`{id_col}`"].cast("long") == gone[doc], "left").drop(doc)
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,6 +69,40 @@ def test_all_pairs(spark, block):
     assert len(got) >= 0.97 * len(want)
 
 
+def test_no_task_is_large(spark):
+    """A bucket of 20,000 sets is spread over pairs of blocks, each a group of its own, and all its pairs are covered."""
+    block = 2048
+    rows = spark.range(20_000).select(F.lit(5).cast("long").alias("bucket"), F.lit(0).alias("band"), F.col("id").alias("rep"), (F.col("id") / block).cast("int").alias("own"), F.lit(10).alias("blocks"))
+    small = spark.range(20_000).select((F.col("id") / 2).cast("long").alias("bucket"), F.lit(0).alias("band"), F.col("id").alias("rep"), F.lit(0).alias("own"), F.lit(1).alias("blocks"))
+    tasks = J._tasks(rows.unionAll(small), 4).checkpoint()
+    large = tasks.filter("shard >= 4").groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("task").alias("t"), F.count_if(F.col("side") == 1).alias("right")).collect()
+    assert len(large) == 55 and all(r.n <= 2 * block and r.t == 1 for r in large)
+    assert sum((r.n - r.right) * r.right if r.right else r.n * (r.n - 1) // 2 for r in large) == 20_000 * 19_999 // 2
+    assert tasks.filter("shard < 4").count() == 20_000 and tasks.filter("shard < 4 and side = 1").count() == 0
+
+
+def test_jaccards_against_sets():
+    r = np.random.default_rng(1)
+    sets = {k * 7: set(r.integers(0, 60, r.integers(1, 50)).tolist()) for k in range(40)}
+    packed = pa.array([np.array(sorted(v), np.uint64).tobytes() for v in sets.values()], pa.binary())
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    got = J.jaccards(*(np.array(c) for c in zip(*pairs)), np.array(list(sets)), packed, 0.4)
+    share = lambda x, y: len(x & y) / len(x | y)
+    assert dict(zip(zip(got[0].tolist(), got[1].tolist()), got[2].tolist())) == {(a, b): share(sets[a], sets[b]) for a, b in pairs if share(sets[a], sets[b]) >= 0.4}
+
+
+def test_equal_digests(spark, monkeypatch):
+    """Different sets whose digests meet are still different sets."""
+    digests, signatures = J._digests, J.signatures  # both are sent to the workers as they are here
+    monkeypatch.setattr(J, "_digests", lambda g, d, n: (digests(g, d, n)[0] & 3, *digests(g, d, n)[1:]))
+    monkeypatch.setattr(J, "signatures", lambda g, d, n: (signatures(g, d, n)[0] & 3, *signatures(g, d, n)[1:]))
+    rows = make_rows()[:40]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in J.jaccard_pairs(docs).collect()}
+    assert all(want.get(k) == v for k, v in got.items()) and len(got) >= 0.97 * len(want)
+
+
 def test_oracle(spark, sf_dir, duck):
     same(J.jaccard_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet")), duck.execute(J.ORACLE).df())
 

@@ -56,16 +56,31 @@ def test_random(spark):
     assert run(spark, rows, 4) == brute(rows, 4)
 
 
-def test_settling():
-    """What a batch settles by itself is what a count over all would say."""
+def test_tally():
+    """What a batch sends is one record for each distinct line."""
     r = np.random.default_rng(9)
-    h, d = r.integers(0, 5, 400).astype(np.uint64), r.integers(0, 60, 400)
-    pairs = sorted(set(zip(h.tolist(), d.tolist())))
-    h, d = (np.array(x) for x in zip(*pairs))
-    own = r.integers(1, 3, len(h))
-    sh, sd, _, stands, gh, gd = L.settle(h.astype(np.uint64), d, own, 4)
-    assert len(sh) == 5 and stands.sum() == own.sum()
-    assert {(a, b) for a, b in zip(gh.tolist(), gd.tolist())} == {(a, b) for a, b in pairs if b != min(y for x, y in pairs if x == a)}
+    h, g, d = r.integers(0, 3, 400).astype(np.uint64), r.integers(0, 2, 400).astype(np.uint64), r.integers(0, 60, 400)
+    sh, sg, sd, n = L.tallied(h, g, d)
+    want = {}
+    for x, y, z in zip(h.tolist(), g.tolist(), d.tolist()):
+        k, m = want.get((x, y), (z, 0))
+        want[x, y] = min(k, z), m + 1
+    assert {(x, y): (z, m) for x, y, z, m in zip(sh.tolist(), sg.tolist(), sd.tolist(), n.tolist())} == want
+
+
+def test_probed_by_shards(spark, monkeypatch):
+    """Arrays too large to broadcast give the same, also beside columns that are named as the join's own."""
+    monkeypatch.setattr(L, "BROADCAST_BYTES", -1)
+    r = np.random.default_rng(5)
+    rows = [(int(r.integers(0, 40)), "\n".join(r.choice(["x", "y ", "z", "", "w" * 50, "é", *map(str, range(30))], r.integers(0, 12)))) for _ in range(200)]
+    rows += [(None, "x\nx\nq"), (7, None), (8, "")]
+    assert run(spark, rows, 4) == brute(rows, 4)
+    docs = spark.createDataFrame([(*x, k, str(k)) for k, x in enumerate(rows)], "doc_id long, text string, _pw_doc int, _pw_lines string")
+    out = L.drop_repeated_lines(docs)
+    assert out.columns == docs.columns
+    got = {x._pw_doc: (x.doc_id, x.text, x._pw_lines) for x in out.collect()}
+    monkeypatch.undo()
+    assert got == {x._pw_doc: (x.doc_id, x.text, x._pw_lines) for x in L.drop_repeated_lines(docs).collect()} and len(got) > 20
 
 
 def test_stage(spark):
@@ -80,9 +95,32 @@ def test_stage(spark):
 def test_perfect_hash():
     r = np.random.default_rng(2)
     for n in (0, 1, 2, 63, 64, 65, 5000):
-        keys = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
-        h = L.PerfectHash(keys)
-        assert sorted(h(keys).tolist()) == list(range(len(keys))) and h.n == len(keys)
-    index = L.LineIndex(np.array([7, 7, 9], np.uint64), np.array([3, 1, 2]), np.array([1, 2, 5]))
-    counts, first = index.probe(np.array([7, 9], np.uint64))
-    assert counts.tolist() == [3, 5] and first.tolist() == [1, 2]
+        keys, more = r.integers(0, 2**64, n, dtype=np.uint64), r.integers(0, 2**64, n, dtype=np.uint64)
+        keys[: n // 2] = 7  # told apart by the other half
+        h = L.PerfectHash(keys, more)
+        assert sorted(h(keys, more).tolist()) == list(range(len(keys))) and h.n == len(keys)
+        back = L.PerfectHash.from_bytes(h.to_bytes())
+        assert back(keys, more).tolist() == h(keys, more).tolist()
+
+
+def test_fingerprint_rejects_foreign_lines():
+    """Lines that aren't in the arrays get numbers of lines that are, and only the fingerprint tells them apart."""
+    u = lambda *x: np.array(x, np.uint64)
+    index = L.LineIndex.from_row(*L.LineIndex.build(u(7, 7, 9, 8), u(1, 1, 3, 4), np.array([3, 1, 2, 5]), np.array([1, 2, 5, 2]), 3).to_row())
+    counts, first = index.probe(u(7, 9, 8), u(1, 3, 4))
+    assert counts.tolist() == [3, 5, 0] and first.tolist()[:2] == [1, 2]
+    r = np.random.default_rng(3)
+    keys, more = r.integers(0, 2**64, 4000, dtype=np.uint64), r.integers(0, 2**64, 4000, dtype=np.uint64)
+    index = L.LineIndex.build(keys[:2000], more[:2000], np.zeros(2000, np.int64), np.full(2000, 4), 4)
+    assert (index.mph(keys[2000:], more[2000:]) >= 0).sum() > 500
+    assert (index.probe(keys[2000:], more[2000:])[0] == 0).all() and (index.probe(keys[:2000], more[:2000])[0] == 4).all()
+
+
+def test_patterns_that_polynomials_confuse(spark):
+    """Thue-Morse lines have equal hashes under any polynomial modulo a power of two."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(k, f"{x}\n{k}") for k, x in enumerate([a, b, a, b])]
+    assert run(spark, rows, 2) == brute(rows, 2) and run(spark, rows, 3) == brute(rows, 3)
