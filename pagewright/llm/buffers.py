@@ -107,26 +107,31 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, U64)
     lens = ends - starts
     out = np.zeros(len(starts), U64)
-    some = np.flatnonzero(lens > 0)
-    s, length = starts[some], lens[some]
-    if len(s):
+    short = (lens > 0) & (lens <= HASH_BLOCK)
+    if short.any():  # one block
+        out[short] = mix(_block_sums(data, starts[short], lens[short]) + BASE)
+    long = np.flatnonzero(lens > HASH_BLOCK)
+    if len(long):
+        s, length = starts[long], lens[long]
         blocks = (length + HASH_BLOCK - 1) // HASH_BLOCK
         span = np.repeat(np.arange(len(s)), blocks)
         number = np.arange(len(span)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        at = s[span] + number * HASH_BLOCK
-        size = np.minimum(length[span] - number * HASH_BLOCK, HASH_BLOCK)
-        first = np.cumsum(size) - size
-        total = int(size.sum())
-        place = np.arange(total, dtype=np.int64)
-        within = place - np.repeat(first, size)
-        place += np.repeat(at - first, size)
-        within <<= 8
-        within |= data[place]
-        sums = np.add.reduceat(_CELL[within], first)
-        out[some] = np.add.reduceat(mix(sums + (number + 1).astype(U64) * BASE), np.cumsum(blocks) - blocks)
+        sums = _block_sums(data, s[span] + number * HASH_BLOCK, np.minimum(length[span] - number * HASH_BLOCK, HASH_BLOCK))
+        out[long] = np.add.reduceat(mix(sums + (number + 1).astype(U64) * BASE), np.cumsum(blocks) - blocks)
     return mix(out + lens.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def _block_sums(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The sums of the random numbers of the bytes of blocks, none of them empty or longer than ``HASH_BLOCK``."""
+    first = np.cumsum(lens) - lens
+    place = np.arange(int(first[-1] + lens[-1]), dtype=np.int64)
+    cell = place - np.repeat(first, lens)
+    place += np.repeat(starts - first, lens)
+    cell <<= 8
+    cell |= data[place]
+    return np.add.reduceat(_CELL[cell], first)
+
+
 def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The bytes of the spans, one after the other."""
     lens = ends - starts

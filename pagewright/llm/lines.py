@@ -57,9 +57,9 @@ class PerfectHash:
         self.n = base
 
     @staticmethod
-    def _place(keys: np.ndarray, more: np.ndarray, level: int, size: int) -> np.ndarray:
+    def _place(keys: np.ndarray, more: np.ndarray, level: int, size: int | np.ndarray) -> np.ndarray:
         c = U64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        return (mix(mix(keys + c) + more) % U64(size)).astype(np.int64)
+        return (mix(mix(keys + c) + more) % np.asarray(size).astype(U64)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray, more: np.ndarray) -> np.ndarray:
         """The number of each key; -1 for some (not all) keys that aren't in the set."""
@@ -218,24 +218,49 @@ def line_index(docs: DataFrame, id_col: str, text_col: str, min_count: int, shar
 Lookup = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def probing(indexes: dict[int, LineIndex], shards: int) -> Lookup:
-    """Lookup in arrays that are all at hand."""
-
-    def look(h: np.ndarray, g: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class ShardArrays:
+    """The arrays of all shards end to end, probed for lines of any shard at once."""
+
+    def __init__(self, rows: list[tuple], shards: int):
+        self.shards = shards
+        of = [(r[0], LineIndex.from_row(*r[1:])) for r in sorted(rows)]
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.prints, self.first = join([x.prints for _, x in of], U64), join([x.first for _, x in of], np.int64)
+        offset = np.cumsum([0, *(x.mph.n for _, x in of)])
+        self.levels = []  # by shard: places (0 where there is no such level), where its words begin, the number before; then all words and ranks
+        for level in range(max((len(x.mph.levels) for _, x in of), default=0)):
+            size, begin, base = (np.zeros(shards, np.int64) for _ in range(3))
+            words, ranks, at = [], [], 0
+            for k, (shard, x) in enumerate(of):
+                if level < len(x.mph.levels):
+                    size[shard], below, w, r = x.mph.levels[level]
+                    begin[shard], base[shard] = at, offset[k] + below
+                    words.append(w)
+                    ranks.append(r[:-1])
+                    at += len(w)
+            self.levels.append((size, begin, base, np.concatenate(words), np.concatenate(ranks)))
+
+    def __call__(self, h: np.ndarray, g: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         many, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
-        shard = (h % U64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cut = np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1]]) if len(h) else np.zeros(0, np.int64)
-        for a, b in zip(cut, np.r_[cut[1:], len(h)]):
-            at = order[a:b]
-            if (index := indexes.get(int(shard[at[0]]))) is not None:
-                n, one = index.probe(h[at], g[at])
-                many[at] = n > 0
-                first[at] = one == ids[at]
+        todo = np.arange(len(h))
+        shard = (h % U64(self.shards)).astype(np.int64)
+        for level, (size, begin, base, words, ranks) in enumerate(self.levels):
+            todo = todo[size[shard[todo]] > 0]
+            if not len(todo):
+                break
+            s = shard[todo]
+            at = PerfectHash._place(h[todo], g[todo], level, size[s])
+            w, bit = begin[s] + (at >> 6), (at & 63).astype(U64)
+            hit = (words[w] >> bit) & U64(1) == 1
+            below = np.bitwise_count(words[w] & ((U64(1) << bit) - U64(1))).astype(np.int64)
+            number = (base[s] + ranks[w] + below)[hit]
+            here = todo[hit]
+            known = self.prints[number] == g[here]
+            many[here] = known
+            first[here] = known & (self.first[number] == ids[here])
+            todo = todo[~hit]
         return many, first
 
-    return look
-
 
 def found_by_shards(docs: DataFrame, index: DataFrame, id_col: str, text_col: str, shards: int, parts: int) -> DataFrame:
     """By document (id; the largest for null) the lines of it that repeat, for arrays that are too large to
@@ -341,7 +366,7 @@ def _cutting(docs: DataFrame, id_col: str, text_col: str, min_count: int) -> tup
 
         def probe(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
             if "look" not in cache:
-                cache["look"] = probing({r[0]: LineIndex.from_row(*r[1:]) for r in rows.value}, shards)
+                cache["look"] = ShardArrays(rows.value, shards)
             return _cut(b.column(at), ids_of(b.column(where))[0], cache["look"])
 
         return docs, probe
