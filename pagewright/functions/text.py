@@ -111,8 +111,24 @@ def replace_mime_encodings(t: Column) -> Column:
 
 
 def bytes_string_to_string(t: Column, encoding: str = "UTF-8") -> Column:
-    """Text whose characters are byte values, decoded as those bytes."""
-    return F.decode(F.encode(t, "ISO-8859-1"), encoding)
+    """Text whose characters are byte values, decoded as those bytes; null where a character isn't one or where the bytes
+    don't fit the encoding."""
+    fits = t.rlike(r"\A[\x00-\xFF]*\z")
+    raw = F.encode(F.when(fits, t), "ISO-8859-1")
+    if encoding.upper().replace("_", "-") in ("UTF-8", "UTF8"):
+        return F.try_validate_utf8(raw.cast("string"))
+
+    @F.pandas_udf(StringType())
+    def decoded(s):  # noqa: ANN001, ANN202
+        def one(x):  # noqa: ANN001, ANN202
+            try:
+                return None if x is None else bytes(x).decode(encoding)
+            except UnicodeDecodeError:
+                return None
+
+        return s.map(one)
+
+    return decoded(raw)
 
 
 def norm_text(t: Column) -> Column:

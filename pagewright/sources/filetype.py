@@ -43,7 +43,8 @@ MIME = {
     "EMPTY": ["inode/x-empty"],
 }
 CODE_NAMES = "go java javascript php python ruby swift typescript c++ csharp".split()
-MAIL_HEAD = r"(?s)\A(?:MIME-Version: 1.0[^\n]*\n)?Date:.*\nMessage-ID:.*\nSubject:.*\nFrom:.*\nTo:"
+MAIL_START = r"\A(?:MIME-Version: 1.0[^\n]*\n)?Date:"
+MAIL_FIELDS = ("\nMessage-ID:", "\nSubject:", "\nFrom:", "\nTo:")
 
 
 def _map(pairs: dict[str, str]) -> Column:
@@ -67,9 +68,10 @@ def is_code_mime_type(mime: Column) -> Column:
     return (mime == "text/x-go") | F.exists(F.array(*[F.lit(c) for c in CODE_NAMES if c != "go"]), lambda c: F.contains(mime, c))
 
 
-def is_json(head: Column) -> Column:
+def is_json(text: Column) -> Column:
     """Whether the text parses as JSON of an object or a list; the whole text counts, not only its head."""
-    return head.rlike(r"\A\s*[\[{]") & F.try_parse_json(head).isNotNull()
+    opens = text.rlike(r"\A\s*[\[{]")
+    return opens & F.try_parse_json(F.when(opens, text)).isNotNull()
 
 
 def comma_count(line: Column) -> Column:
@@ -77,15 +79,42 @@ def comma_count(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_replace(line, r'"[^"]*"', ""), "[^,]", ""))
 
 
-def is_csv(head: Column) -> Column:
-    """At least two lines, and as many commas, one at least, in each of the first ten that hold anything."""
-    lines = F.slice(F.filter(F.split(head, r"\r?\n"), lambda x: F.trim(x) != ""), 1, 10)
-    n = F.transform(lines, comma_count)
+def is_csv(text: Column) -> Column:
+    """At least two lines, and as many commas outside of double quotes, one at least, in each that holds anything; quotes
+    may hold line breaks."""
+    bare = F.regexp_replace(text, r'"[^"]*"', "q")
+    lines = F.filter(F.split(bare, r"\r?\n"), lambda x: F.trim(x) != "")
+    n = F.transform(lines, lambda x: F.length(F.regexp_replace(x, "[^,]", "")))
     return (F.size(lines) >= 2) & F.coalesce(F.array_min(n) > 0, F.lit(False)) & (F.array_min(n) == F.array_max(n))
 
 
-def is_mail(head: Column) -> Column:
-    return head.rlike(MAIL_HEAD)
+def is_mail(text: Column) -> Column:
+    """Whether the text starts with a date and has the fields of a mail after it, in their usual order."""
+    at = F.lit(1)
+    for field in MAIL_FIELDS:
+        at = F.when(at > 0, F.call_function("locate", F.lit(field), text, at)).otherwise(0)
+    return text.rlike(MAIL_START) & (at > 0)
+
+
+def is_text(text: Column) -> Column:
+    """Whether there is no NUL and other control characters are less than one in a hundred, in all of the text."""
+    odd = F.length(F.regexp_replace(text, "[^\\x01-\\x08\\x0E-\\x1A\\x1C-\\x1F]", ""))
+    return ~text.contains("\0") & (odd * 100 <= F.length(text))
+
+
+@F.pandas_udf(StringType())
+def _wide_text(content: pd.Series) -> pd.Series:
+    from .plain import decode
+
+    return content.map(lambda c: decode(c)[1] if c is not None else None)
+
+
+def sniffed(content: Column) -> Column:
+    """Bytes as characters for telling types apart, one for one, which never fails: what tells types is ASCII in UTF-8,
+    Latin-1, GB18030 and their like. Only text in two or four bytes a character, which has a mark, is decoded."""
+    wide = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF") | F.hex(F.substring(content, 1, 4)).isin("0000FEFF")
+    plain = F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.substring(content, 4, 1 << 30)).otherwise(content)
+    return F.when(wide, _wide_text(F.when(wide, content))).otherwise(F.decode(plain, "ISO-8859-1"))
 
 
 @F.pandas_udf(StringType())
@@ -96,14 +125,14 @@ def _archive_type(content: pd.Series) -> pd.Series:
 
 
 def type_of_content(content: Column, path: Column) -> Column:
-    """By the first bytes; text is told apart by its head, and by the name where the head doesn't decide. Archives are
-    opened, and only they are sent to Python."""
+    """By the first bytes; text is told apart by all of it, and by the name where the text doesn't decide. No bytes
+    make this fail, whatever their encoding. Archives are opened, and only they are sent to Python."""
     magic = F.hex(F.substring(content, 1, 8))
     by_name = type_of_extension(path)
-    head = F.decode(F.substring(content, 1, 4096), "UTF-8")
+    text = sniffed(content)
     zipped = magic.startswith("504B0304")
     ole = magic.startswith("D0CF11E0A1B11AE1")
-    text_like = ~F.substring(head, F.lit(1), F.lit(512)).rlike("[\\x00-\\x08\\x0E-\\x1F]")
+    text_like = is_text(text)
     return (
         F.when(content.isNull() | (F.length(content) == 0), "EMPTY")
         .when(magic.startswith("25504446"), "PDF")
@@ -112,12 +141,12 @@ def type_of_content(content: Column, path: Column) -> Column:
         .when(magic.startswith("7B5C727466"), "RTF")
         .when(zipped, _archive_type(F.when(zipped, content)))
         .when(ole, F.when(by_name.isin("DOC", "XLS", "PPT", "MSG"), by_name).otherwise("MSG"))
-        .when(text_like & is_mail(head), "EML")
+        .when(text_like & is_mail(text), "EML")
         .when(text_like & ~by_name.isin("UNK", "TXT", "ZIP"), by_name)
-        .when(text_like & is_json(F.decode(content, "UTF-8")), "JSON")
-        .when(text_like & head.rlike(r"(?i)\A\s*(<!doctype html|<html)"), "HTML")
-        .when(text_like & head.rlike(r"\A\s*<\?xml"), "XML")
-        .when(text_like & is_csv(head), "CSV")
+        .when(text_like & is_json(text), "JSON")
+        .when(text_like & text.rlike(r"(?i)\A\s*(<!doctype html|<html)"), "HTML")
+        .when(text_like & text.rlike(r"\A\s*<\?xml"), "XML")
+        .when(text_like & is_csv(text), "CSV")
         .when(text_like, "TXT")
         .otherwise(by_name)
     )

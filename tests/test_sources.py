@@ -289,3 +289,34 @@ def test_remote(spark):
         remote.translation_model("xx")
     with pytest.raises(NotImplementedError):
         remote.translate("x")
+
+
+def test_no_bytes_end_the_job(spark):
+    """Whatever the encoding and wherever a letter lies, a file has a type and elements, and its neighbours keep theirs."""
+    han = "毛泽东选集第一卷。"
+    texts = {f"u{n}{k}": ("x" * k + han * 200).encode()[: 4090 + n] for n in range(0, 21, 3) for k in range(3)}
+    texts |= {
+        "latin1": ("café déjà vu. " * 400).encode("latin-1"), "gb": (han * 500).encode("gb18030"), "utf16": (han * 300).encode("utf-16"), "utf16be": b"\xfe\xff" + (han * 300).encode("utf-16-be"),
+        "cut": (han * 100).encode()[:-1], "bad": b"plain \xff\xfe\x80 text, more of it. " * 300, "bom": b"\xef\xbb\xbf" + (han * 300).encode(), "page": ("<html><body><p>" + han * 400 + "</p></body></html>").encode(),
+    }
+    rows = [(k, f"/d/{name}.txt", None, bytearray(c)) for k, (name, c) in enumerate(texts.items())]
+    rows += [(1000 + k, f"/d/{k}", None, bytearray(b"A short plain text about files.")) for k in range(200)]
+    files = T.detect(spark.createDataFrame(rows, "doc_id long, path string, modificationTime timestamp, content binary"))
+    kinds = {r.doc_id: r.filetype for r in files.select("doc_id", "filetype").collect()}
+    names = list(texts)
+    assert {names[k]: v for k, v in kinds.items() if k < 1000 and v != "TXT"} == {"page": "HTML"}
+    assert all(v == "TXT" for k, v in kinds.items() if k >= 1000)
+    found = {r.doc_id: r.n for r in PL.partition(files).groupBy("doc_id").count().withColumnRenamed("count", "n").collect()}
+    assert set(found) == set(kinds) and PL.errors(files).count() == 0
+
+
+def test_types_by_all_of_the_text(spark):
+    lines = "\n".join(["a,b,c"] * 10)
+    cases = {
+        "csv": (lines + "\n1,2,3\n", "CSV"), "late": (lines + "\n1,2\n", "TXT"), "quoted": ('a,b\n"x, y\nz",2\n', "CSV"), "json": ("[" + "1, " * 5000 + "2]", "JSON"), "nojson": ("[" + "1, " * 5000 + "2", "TXT"),
+        "mail": ("MIME-Version: 1.0\nDate: Fri, 16 Dec 2022\nMessage-ID: <a>\nX: y\nSubject: s\nFrom: a\nTo: b\n\nhi", "EML"), "nomail": ("Date: x\nSubject: s\nMessage-ID: a\nFrom: a\nTo: b\n", "TXT"),
+        "binary": ("text " * 2000 + "\0", "UNK"), "xml": ("<?xml version='1.0'?><a>b</a>", "XML"),
+    }
+    rows = [(k, f"/d/{n}", None, bytearray(t.encode())) for k, (n, (t, _)) in enumerate(cases.items())]
+    got = T.detect(spark.createDataFrame(rows, "doc_id long, path string, modificationTime timestamp, content binary"))
+    assert {r.path[3:]: r.filetype for r in got.select("path", "filetype").collect()} == {n: k for n, (_, k) in cases.items()}
