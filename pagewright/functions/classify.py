@@ -43,11 +43,16 @@ def words(t: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(r"[一-鿿぀-ヿ]|(?:(?![一-鿿぀-ヿ])[\p{L}\p{N}'])+"), F.lit(0))
 
 
-def sentence_count(t: Column, min_length: int | None = None) -> Column:
-    found = sentences(t)
-    if min_length:
-        found = F.filter(found, lambda s: F.size(words(X.remove_punctuation(s))) >= min_length)
-    return F.size(found)
+def sentence_words(t: Column) -> Column:
+    """The number of words of each sentence. Project it once where several predicates want it, and hand it to them as
+    ``counts``."""
+    return F.transform(sentences(t), lambda s: F.size(words(X.remove_punctuation(s))))
+
+
+def sentence_count(t: Column, min_length: int | None = None, counts: Column | None = None) -> Column:
+    if counts is None:
+        counts = sentence_words(t) if min_length else sentences(t)
+    return F.size(F.filter(counts, lambda n: n >= min_length)) if min_length else F.size(counts)
 
 
 def contains_verb(t: Column) -> Column:
@@ -71,19 +76,19 @@ def under_non_alpha_ratio(t: Column, threshold: float = 0.5) -> Column:
     return F.coalesce(alpha_ratio(t) < threshold, F.lit(False))
 
 
-def exceeds_cap_ratio(t: Column, threshold: float = 0.5) -> Column:
+def exceeds_cap_ratio(t: Column, threshold: float = 0.5, counts: Column | None = None) -> Column:
     alpha = F.filter(words(t), lambda w: w.rlike(r"^\p{L}+$"))
     caps = F.filter(alpha, lambda w: w.rlike(r"^\p{Lu}\P{Lu}*$|^\p{Lu}+$"))
     share = F.size(caps) / F.nullif(F.size(alpha), F.lit(0))
-    return F.when(sentence_count(t, 3) > 1, False).when(is_upper(t), True).otherwise(F.coalesce(share > threshold, F.lit(True)))
+    return F.when(sentence_count(t, 3, counts) > 1, False).when(is_upper(t), True).otherwise(F.coalesce(share > threshold, F.lit(True)))
 
 
-def is_possible_narrative_text(t: Column, cap_threshold: float = 0.5, non_alpha_threshold: float = 0.5, language: str = "en") -> Column:
-    out = (F.length(t) > 0) & ~is_numeric(t) & ~exceeds_cap_ratio(t, cap_threshold) & ~under_non_alpha_ratio(t, non_alpha_threshold)
-    return out & ((sentence_count(t, 3) >= 2) | contains_verb(t)) if language == "en" else out
+def is_possible_narrative_text(t: Column, cap_threshold: float = 0.5, non_alpha_threshold: float = 0.5, language: str = "en", counts: Column | None = None) -> Column:
+    out = (F.length(t) > 0) & ~is_numeric(t) & ~exceeds_cap_ratio(t, cap_threshold, counts) & ~under_non_alpha_ratio(t, non_alpha_threshold)
+    return out & ((sentence_count(t, 3, counts) >= 2) | contains_verb(t)) if language == "en" else out
 
 
-def is_possible_title(t: Column, sentence_min_length: int = 5, title_max_word_length: int = 12, non_alpha_threshold: float = 0.5, language: str = "en", is_pptx: bool = False) -> Column:
+def is_possible_title(t: Column, sentence_min_length: int = 5, title_max_word_length: int = 12, non_alpha_threshold: float = 0.5, language: str = "en", is_pptx: bool = False, counts: Column | None = None) -> Column:
     if language == "zh":
         return (F.length(t) > 0) & ~t.rlike(ZH_NOT_PPTX_TITLE if is_pptx else ZH_NOT_TITLE) & (F.length(t) <= title_max_word_length)
     return (
@@ -93,7 +98,7 @@ def is_possible_title(t: Column, sentence_min_length: int = 5, title_max_word_le
         & ~under_non_alpha_ratio(t, non_alpha_threshold)
         & ~t.endswith(",")
         & ~is_numeric(t)
-        & (sentence_count(t, sentence_min_length) <= 1)
+        & (sentence_count(t, sentence_min_length, counts) <= 1)
     )
 
 
@@ -102,7 +107,8 @@ def is_bulleted_text(t: Column) -> Column:
 
 
 def is_us_city_state_zip(t: Column) -> Column:
-    return X.strip(t).rlike(CITY_STATE_ZIP)
+    bare = X.strip(t)  # what goes before the comma is looked at first, as the whole pattern tries all ways to cut it in words
+    return bare.rlike(r"\A[A-Za-z][A-Za-z.\- ]{1,85},") & bare.rlike(CITY_STATE_ZIP)
 
 
 def is_email_address(t: Column) -> Column:
@@ -163,14 +169,14 @@ def segments_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(a0, b0) < F.least(a1, b1)
 
 
-def element_type(t: Column, language: str = "en") -> Column:
+def element_type(t: Column, language: str = "en", counts: Column | None = None) -> Column:
     """The type of a paragraph: list item, address of mail or place, narrative, title, else uncategorised."""
     return (
         F.when(is_bulleted_text(t), "ListItem")
         .when(is_email_address(t), "EmailAddress")
         .when(is_us_city_state_zip(t), "Address")
-        .when(is_possible_narrative_text(t, language=language), "NarrativeText")
-        .when(is_possible_title(t, language=language), "Title")
+        .when(is_possible_narrative_text(t, language=language, counts=counts), "NarrativeText")
+        .when(is_possible_title(t, language=language, counts=counts), "Title")
         .otherwise("UncategorizedText")
     )
 

@@ -1,12 +1,17 @@
 """Paragraphs: grouping of broken lines, splitting, packing to a size, chunking by tokens.
 
-The folds are ``F.aggregate`` over a document's own pieces, so a document stays one row until it is exploded.
+A document stays one row until it is exploded. Packing goes from piece to piece, and a fold over an array copies what it has
+at each step, so texts that have to be packed go to Python, in Arrow batches and only they; the rest stays in Columns.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from . import classify as C
 from . import text as X
@@ -57,14 +62,15 @@ def group_broken_paragraphs(t: Column) -> Column:
 blank_line_grouper = group_broken_paragraphs
 
 
-def empty_line_ratio(t: Column, max_line_count: int = 2000) -> Column:
-    """The share of blank lines among the first ones."""
-    head = F.slice(F.split(t, LINE_ENDS), 1, max_line_count)
+def empty_line_ratio(t: Column, max_line_count: int | None = None) -> Column:
+    """The share of blank lines, among the first ones if a number is given."""
+    lines = F.split(t, LINE_ENDS)
+    head = F.slice(lines, 1, max_line_count) if max_line_count else lines
     return F.size(F.filter(head, _blank)) / F.size(head)
 
 
-def auto_paragraph_grouper(t: Column, max_line_count: int = 2000, threshold: float = 0.1) -> Column:
-    """Line by line where blank lines are rare, else by blank lines."""
+def auto_paragraph_grouper(t: Column, max_line_count: int | None = None, threshold: float = 0.1) -> Column:
+    """Line by line where blank lines are rare, else by blank lines. All lines count unless ``max_line_count`` says how many."""
     return F.when(empty_line_ratio(t, max_line_count) < threshold, new_line_grouper(t)).otherwise(blank_line_grouper(t))
 
 
@@ -73,71 +79,97 @@ def split_paragraphs(t: Column) -> Column:
     return F.split(X.strip(t), X.PARAGRAPH)
 
 
-def _halves(s: Column) -> Column:
-    """A text cut at the blank that is nearest to its middle, the later one of two; in the very middle if there is none."""
-    mid = F.floor(F.length(s) / 2).cast("int")
-    after = F.instr(F.substring(s, mid + 1, F.length(s)), " ") - 1
-    before = F.instr(F.reverse(F.substring(s, F.lit(1), mid + 1)), " ") - 1
-    at = F.when((after >= 0) & (after < mid) & ((before < 0) | (after <= before)), mid + after).when((before >= 0) & (before < mid), mid - before).otherwise(mid)
-    return F.array(F.regexp_replace(F.substring(s, F.lit(1), at.cast("int")), r"(?U)\s+$", ""), F.regexp_replace(F.substring(s, at.cast("int") + 1, F.length(s)), r"(?U)^\s+", ""))
-
-
-def _wrapped(s: Column, n: int) -> Column:
-    """Words packed into lines of at most n characters; a word that is longer is cut."""
-    words = F.filter(F.split(s, r"(?U)\s+"), lambda w: w != "")
-    cut = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / n).cast("int")), lambda i: F.substring(w, i * n + 1, F.lit(n)))))
-    return _pack(_pieces(cut, False), n)
-
-
-def _pack(pieces: Column, n: int) -> Column:
-    """Pieces joined by blanks as long as n characters aren't exceeded; pieces are texts, or structs of a text ``s`` and
-    whether it must start anew ``f``."""
+_SENTENCE_END = re.compile(C.SENTENCE_END.replace("[^\\s]", "[^ \\t-\\r]").replace("\\s+", "[ \\t-\\r]+"))
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = a["now"] == ""
-        full = x["f"] | (F.length(a["now"]) + 1 + F.length(x["s"]) > n)
-        done = F.when(~fresh & full, F.array_append(a["done"], a["now"])).otherwise(a["done"])
-        return F.struct(done.alias("done"), F.when(fresh | full, x["s"]).otherwise(F.concat(a["now"], F.lit(" "), x["s"])).alias("now"))
 
-    none = F.array().cast("array<string>")
-    out = F.aggregate(pieces, F.struct(none.alias("done"), F.lit("").alias("now")), step)
-    return F.when(out["now"] != "", F.array_append(out["done"], out["now"])).otherwise(out["done"])
-
-
-def _pieces(texts: Column, anew: bool) -> Column:
-    return F.transform(texts, lambda s: F.struct(s.alias("s"), F.lit(anew).alias("f")))
+def _halves(s: str) -> list[str]:
+    """A text cut at the blank that is nearest to its middle, the later one of two; in the very middle if there is none."""
+    mid = len(s) // 2
+    after, before = s.find(" ", mid) - mid, mid - s.rfind(" ", 0, mid + 1)
+    at = mid
+    if 0 <= after < mid and (before > mid or after <= before):
+        at = mid + after
+    elif before < mid:
+        at = mid - before
+    return [s[:at].rstrip(), s[at:].lstrip()]
+
+
+def _packed(pieces: list[tuple[str, bool]], n: int) -> list[str]:
+    """Pieces joined by blanks as long as n characters aren't exceeded; a piece may have to start anew."""
+    out: list[str] = []
+    now: list[str] = []
+    size = 0
+    for s, anew in pieces:
+        if now and (anew or size + 1 + len(s) > n):
+            out.append(" ".join(now))
+            now = []
+        size = size + 1 + len(s) if now else len(s)
+        if size:
+            now.append(s)
+    return [*out, " ".join(now)] if now else out
+
+
+def _fitted(t: str, n: int) -> list[str]:
+    """``split_content_to_fit_max`` of one paragraph."""
+    if len(t) <= n:
+        return [t] if t.strip() else []
+    pieces: list[tuple[str, bool]] = []
+    for s in _SENTENCE_END.split(t):
+        if not s.strip():
+            continue
+        if len(s) <= n:
+            pieces.append((s, False))
+        elif len(s) < 2 * n:
+            pieces += [(x, True) for x in _halves(s)]
+        else:
+            words = [w[i : i + n] for w in s.split() for i in range(0, len(w), n)]
+            pieces += [(x, True) for x in _packed([(w, False) for w in words], n)]
+    return _packed(pieces, n)
+
+
+def _combined(parts: list[str], most: int, least: int) -> list[str]:
+    out: list[list[str]] = []
+    size, opened = 0, False
+    for x in parts:
+        if opened and size + 1 + len(x) <= most:
+            out[-1].append(x)
+            size += 1 + len(x)
+        else:
+            out.append([x])
+            size, opened = len(x), len(x) < least
+    return [" ".join(x) for x in out]
+
+
+def _by_python(f, parts: Column, when: Column) -> Column:  # noqa: ANN001
+    """``f`` of the lists where it is wanted; other rows cross to Python as nulls."""
+    call = F.pandas_udf(lambda col: pd.Series([None if x is None else f(list(x)) for x in col], dtype=object), ArrayType(StringType()))
+    return call(F.when(when, parts))
+
+
+def _fit_all(parts: Column, n: int) -> Column:
+    long = F.exists(parts, lambda p: F.length(p) > n)
+    return F.when(long, _by_python(lambda ps: [x for p in ps for x in _fitted(p, n)], parts, long)).otherwise(F.filter(parts, lambda p: ~_blank(p)))
 
 
 def split_content_to_fit_max(t: Column, max_partition: int = 1500) -> Column:
     """A paragraph's sentences packed into chunks of at most ``max_partition`` characters. A sentence that is longer is
     halved at a blank if it is less than twice as long, else wrapped at words; its last part is packed on."""
-    pieces = F.flatten(
-        F.transform(
-            C.sentences(t),
-            lambda s: F.when(F.length(s) <= max_partition, _pieces(F.array(s), False)).when(F.length(s) < 2 * max_partition, _pieces(_halves(s), True)).otherwise(_pieces(_wrapped(s, max_partition), True)),
-        )
-    )
-    return F.when(F.length(t) <= max_partition, F.when(_blank(t), F.array().cast("array<string>")).otherwise(F.array(t))).otherwise(_pack(pieces, max_partition))
+    return F.when(t.isNotNull(), _fit_all(F.array(t), max_partition))
 
 
 def combine_paragraphs_less_than_min(parts: Column, max_partition: int = 1500, min_partition: int = 0) -> Column:
     """Paragraphs shorter than the minimum take in the next ones as long as the maximum isn't exceeded."""
     if not min_partition:
         return parts
-    none = F.array().cast("array<string>")
-    step = lambda a, x: (
-        F.when(a["open"] & (F.length(a["now"]) + 1 + F.length(x) <= max_partition), F.struct(a["done"].alias("done"), F.concat(a["now"], F.lit(" "), x).alias("now"), F.lit(True).alias("open"), F.lit(True).alias("any")))
-        .otherwise(F.struct(F.when(a["any"], F.array_append(a["done"], a["now"])).otherwise(a["done"]).alias("done"), x.alias("now"), (F.length(x) < min_partition).alias("open"), F.lit(True).alias("any")))
-    )
-    out = F.aggregate(parts, F.struct(none.alias("done"), F.lit("").alias("now"), F.lit(False).alias("open"), F.lit(False).alias("any")), step)
-    return F.when(out["any"], F.array_append(out["done"], out["now"])).otherwise(out["done"])
+    short = F.exists(parts, lambda p: F.length(p) < min_partition)
+    return F.when(short, _by_python(lambda ps: _combined(ps, max_partition, min_partition), parts, short)).otherwise(parts)
 
 
 def split_by_paragraph(t: Column, min_partition: int = 0, max_partition: int | None = 1500) -> Column:
     """All paragraphs of a text, packed to the given sizes."""
     parts = split_paragraphs(t)
     if max_partition:
-        parts = F.flatten(F.transform(parts, lambda p: split_content_to_fit_max(p, max_partition)))
+        parts = _fit_all(parts, max_partition)
     return combine_paragraphs_less_than_min(parts, max_partition or 1 << 30, min_partition)
 
 
@@ -149,20 +181,40 @@ def chunk_by_attention_window(t: Column, max_input_size: int, buffer: int = 2, s
     if not 0 <= buffer < max_input_size:
         raise ValueError("the buffer must be 0 or more and below the window's size")
     most = max_input_size - buffer
-    size = (lambda s: F.lit(1)) if count == "words" else (lambda s: F.length(s))
-    none = F.array().cast("array<string>")
-
-    def step(a: Column, s: Column) -> Column:
-        n = F.when(size(s) > most, F.raise_error(F.lit("a segment is longer than the window")).cast("int")).otherwise(size(s))
-        full = a["size"] + n > most
-        return F.struct(
-            F.when(full, F.array_append(a["done"], F.concat(a["now"], F.lit(separator.strip())))).otherwise(a["done"]).alias("done"),
-            F.when(full | (a["size"] == 0), s).otherwise(F.concat(a["now"], F.lit(separator), s)).alias("now"),
-            F.when(full, n).otherwise(a["size"] + n).alias("size"),
-        )
-
-    out = F.aggregate(F.split(t, separator), F.struct(none.alias("done"), F.lit("").alias("now"), F.lit(0).alias("size")), step)
-    return F.when(out["now"] != "", F.array_append(out["done"], out["now"])).otherwise(out["done"])
+    segments = F.split(t, separator)
+    if count == "words":
+
+        def cut(segs: Column) -> Column:
+            chunk = lambda k: F.array_join(F.slice(segs, k * most + 1, most), separator)
+            last = F.floor((F.size(segs) - 1) / most).cast("int")
+            return F.transform(F.sequence(F.lit(0), last), lambda k: F.when(k < last, F.concat(chunk(k), F.lit(separator.strip()))).otherwise(chunk(k)))
+
+        # in a lambda whatever isn't its argument is evaluated again for each element, so lists are made arguments
+        return F.get(F.transform(F.array(segments), lambda segs: F.get(F.transform(F.array(cut(segs)), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)), F.lit(0))), F.lit(0))
+
+    def pack(parts: list[str]) -> list[str]:
+        out: list[str] = []
+        now, size = "", 0
+        run: list[str] = []
+        for s in parts:
+            if len(s) > most:
+                raise ValueError("a segment is longer than the window")
+            if size + len(s) > most:
+                out.append(separator.join(run) + separator.strip())
+                run, size = [], 0
+            run = run if size else []
+            run.append(s)
+            size += len(s)
+        now = separator.join(run)
+        return [*out, now] if now else out
+
+    return _by_python(pack, segments, t.isNotNull())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where there are fewer partitions than cores, as with one small file; otherwise as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if max(df.rdd.getNumPartitions() // 4, 1) < cores else df
 
 
 def partition_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paragraph_grouper: str | None = "auto", min_partition: int = 0, max_partition: int | None = 1500, language: str = "en") -> DataFrame:
@@ -171,5 +223,7 @@ def partition_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if max_partition is not None and not 0 <= min_partition <= max_partition:
         raise ValueError("0 <= min_partition <= max_partition must hold")
     group = {"auto": auto_paragraph_grouper, "new_line": new_line_grouper, "blank_line": blank_line_grouper, None: lambda t: t}[paragraph_grouper]
-    parts = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(split_by_paragraph(group(F.col(text_col)), min_partition, max_partition)).alias("ord", "raw")).withColumn("raw", X.strip("raw")).filter("raw <> ''")
-    return parts.select("doc_id", "ord", C.element_type(F.col("raw"), language).alias("type"), C.element_text(F.col("raw")).alias("text")).select("doc_id", "ord", F.substring(F.sha2("text", 256), 1, 32).alias("element_id"), "type", "text")
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")))
+    parts = rows.select("doc_id", F.posexplode(split_by_paragraph(group(F.col("_t")), min_partition, max_partition)).alias("ord", "raw")).withColumn("raw", X.strip("raw")).filter("raw <> ''")
+    parts = parts.withColumn("_n", C.sentence_words(F.col("raw")))
+    return parts.select("doc_id", "ord", C.element_type(F.col("raw"), language, F.col("_n")).alias("type"), C.element_text(F.col("raw")).alias("text")).select("doc_id", "ord", F.substring(F.sha2("text", 256), 1, 32).alias("element_id"), "type", "text")

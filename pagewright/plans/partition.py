@@ -75,10 +75,22 @@ def raw(files: DataFrame, **options) -> DataFrame:
 def partition(files: DataFrame, content_type: str | None = None, url: str | None = None, regex_patterns: dict[str, str] | None = None, include_metadata: bool = True, **options) -> DataFrame:
     """Element rows of files as ``sources.filetype.scan`` gives them. Files that can't be read give none; ``errors`` has
     the reasons. ``url`` names a column with the files' addresses, ``regex_patterns`` adds matches to the metadata."""
-    from ..functions.metadata import regex_metadata, strip_metadata
+    known = files if "filetype" in files.columns else filetype.detect(files, content_type)
+    return _elements(raw(known, **options), known, url, regex_patterns, include_metadata)
 
+
+def partition_and_errors(files: DataFrame, content_type: str | None = None, url: str | None = None, regex_patterns: dict[str, str] | None = None, include_metadata: bool = True, **options) -> tuple[DataFrame, DataFrame]:
+    """What ``partition`` and ``errors`` give, each file parsed once: its raw rows are kept for both (persisted, so the caller may
+    free them with ``spark.catalog.clearCache()`` when both are written)."""
     known = files if "filetype" in files.columns else filetype.detect(files, content_type)
-    out = elements(raw(known, **options), known)
+    rows = raw(known, **options).persist()
+    return _elements(rows, known, url, regex_patterns, include_metadata), rows.filter("error is not null").select("doc_id", "error")
+
+
+def _elements(rows: DataFrame, known: DataFrame, url: str | None, regex_patterns: dict[str, str] | None, include_metadata: bool) -> DataFrame:
+    from ..functions.metadata import regex_metadata, strip_metadata
+
+    out = elements(rows, known)
     if url:
         out = out.join(known.select("doc_id", F.col(url).alias("_url")), "doc_id", "left").withColumn("metadata", F.col("metadata").withField("url", F.col("_url"))).drop("_url")
     if regex_patterns:
@@ -103,8 +115,8 @@ def serve(files: DataFrame, mode: str = "text", **options) -> DataFrame:
         raise ValueError(f"no such mode: {mode}")
     if mode == "topdf":
         raise NotImplementedError("conversion to PDF needs an office converter")
-    known = (files if "filetype" in files.columns else filetype.detect(files)).persist()
-    rows = raw(known, **options)
+    known = files if "filetype" in files.columns else filetype.detect(files)
+    rows = raw(known, **options).persist()  # each file is parsed once, for what it holds and for why it failed
     body = elements(rows, known)
     none = F.lit(None).cast("string")
     if mode == "partition":

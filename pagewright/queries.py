@@ -455,7 +455,7 @@ def page_titles(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def html_elements(spark: SparkSession, folder: str) -> DataFrame:
     """Elements of all pages; the parser has no SQL form."""
-    return partition_html(read(spark, folder, "pages"), "page_id").select("doc_id", "ord", "page_number", "element_id", "type", "text")
+    return partition_html(P.spread(read(spark, folder, "pages")), "page_id").select("doc_id", "ord", "page_number", "element_id", "type", "text")
 
 
 @query()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import classify as C
 from ..functions import text as X
@@ -39,6 +41,8 @@ FIELDS: dict[str, str] = {
     "attachment_name": "string",
     "error": "string",
 }
+#: Files whose elements make one batch.
+ROWS = 64
 SCHEMA = "doc_id bigint, ord int, " + ", ".join(f"`{k}` {v}" for k, v in FIELDS.items())
 
 
@@ -46,19 +50,22 @@ def parse_files(files: DataFrame, parser: Callable[[dict], Iterator[dict]], *col
     """Raw rows of ``parser``, which gets a row's columns and gives dicts of ``FIELDS``. A file that fails gives one row
     with the error, so it doesn't end the job."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                rows = []
-                try:
-                    rows = [{**r, "doc_id": row["doc_id"], "ord": i} for i, r in enumerate(parser(row))]
-                except Exception as e:  # noqa: BLE001
-                    rows = [{"doc_id": row["doc_id"], "ord": 0, "error": f"{type(e).__name__}: {e}"[:500]}]
-                out += rows
-            yield pd.DataFrame(out, columns=["doc_id", "ord", *FIELDS]).astype(object).where(lambda d: d.notna(), None)
+    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
-    return files.select("doc_id", *columns).mapInPandas(run, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, cols = b.schema.names, [c.to_pylist() for c in b.columns]
+            for at in range(0, b.num_rows, ROWS):
+                out: list[dict] = []
+                for values in zip(*(c[at : at + ROWS] for c in cols)):
+                    row = dict(zip(names, values))
+                    try:  # all of a file or none
+                        out += [{**r, "doc_id": row["doc_id"], "ord": i} for i, r in enumerate(parser(row))]
+                    except Exception as e:  # noqa: BLE001
+                        out.append({"doc_id": row["doc_id"], "ord": 0, "error": f"{type(e).__name__}: {e}"[:500]})
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in out], f.type) for f in schema], schema=schema)
+
+    return files.select("doc_id", *columns).mapInArrow(run, SCHEMA)
 
 
 def classify(raw: DataFrame, keep_empty: bool = False) -> DataFrame:
