@@ -4,24 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import staging
-from ..sources import filetype, mail, office, plain
+from ..sources import filetype, mail, markup, office, ole, pdf, plain
 from ..sources.html import read as read_html
 from ..sources.raw import elements, parse_files
 
 #: Kinds that need a program, a model or a network that isn't here.
 UNAVAILABLE = {
-    "DOC": "an office converter",
-    "XLS": "an office converter",
-    "PPT": "an office converter",
-    "RTF": "a document converter",
-    "ORG": "a document converter",
-    "RST": "a document converter",
-    "MSG": "an OLE parser",
-    "PDF": "a PDF parser; give its layout as rows to operators.layout instead",
     "JPG": "a recognition model; give its layout as rows to operators.layout instead",
     "PNG": "a recognition model; give its layout as rows to operators.layout instead",
     "ZIP": "a known kind of archive",
@@ -50,9 +43,28 @@ def parse_one(row: dict, options: dict | None = None) -> Iterator[dict]:
         yield from office.read_epub(content)
     elif kind == "EML":
         yield from mail.read_mail(content, o.get("content_source", "text/html"), o.get("include_headers", False), most, o.get("with_attachments", False))
+    elif kind == "PDF":
+        found = list(pdf.read_pdf(content, o.get("include_page_breaks", True)))
+        if not found:
+            raise ValueError("no text layer; give the layout of the pages as rows to operators.layout instead")
+        yield from found
+    elif kind == "XLS":
+        yield from ole.read_xls(content, o.get("include_header", True))
+    elif kind == "DOC":
+        yield from ole.read_doc(content, o.get("include_page_breaks", True))
+    elif kind == "PPT":
+        yield from ole.read_ppt(content, o.get("include_page_breaks", True))
+    elif kind == "MSG":
+        yield from ole.read_msg(content, most, o.get("with_attachments", False))
+    elif kind == "RTF":
+        yield from markup.read_rtf(content.decode("latin-1"), o.get("include_page_breaks", True))
     else:
         _, text = plain.decode(content, o.get("encoding"))
-        if kind == "HTML":
+        if kind == "ORG":
+            yield from markup.read_org(text)
+        elif kind == "RST":
+            yield from markup.read_rst(text)
+        elif kind == "HTML":
             yield from read_html(text)
         elif kind == "MD":
             yield from plain.read_markdown(text)
@@ -114,7 +126,7 @@ def serve(files: DataFrame, mode: str = "text", **options) -> DataFrame:
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")
     if mode == "topdf":
-        raise NotImplementedError("conversion to PDF needs an office converter")
+        return to_pdf(files, **options)
     known = files if "filetype" in files.columns else filetype.detect(files)
     rows = raw(known, **options).persist()  # each file is parsed once, for what it holds and for why it failed
     body = elements(rows, known)
@@ -131,6 +143,32 @@ def serve(files: DataFrame, mode: str = "text", **options) -> DataFrame:
     return out.select("doc_id", code.alias("status_code"), F.coalesce("error", F.lit("success")).alias("status_message"), "text", "html_text", "partitions")
 
 
+def to_pdf(files: DataFrame, **options) -> DataFrame:
+    """A PDF for each file: doc_id, status_code, status_message and pdf (bytes). PDF files are taken as they are, images
+    become a page, and of other files the plain text is set. A file that can't be read has status 400 and the reason."""
+    known = files if "filetype" in files.columns else filetype.detect(files)
+    rows = raw(known.filter(~F.col("filetype").isin("PDF", "JPG", "PNG")), **options).persist()
+    text = staging.plain_text(elements(rows)).select("doc_id", "text")
+    failed = rows.filter("error is not null").groupBy("doc_id").agg(F.first("error").alias("error"))
+    j = known.select("doc_id", "filetype", F.when(F.col("filetype").isin("PDF", "JPG", "PNG"), F.col("content")).alias("content")).join(text, "doc_id", "left").join(failed, "doc_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for kind, content, words, error in zip(*(c.to_pylist() for c in b.columns[1:])):
+                made = None
+                if error is None:
+                    try:
+                        made = content if kind == "PDF" else pdf.image_to_pdf(content) if kind in ("JPG", "PNG") else pdf.text_to_pdf(words or "")
+                    except Exception as e:  # noqa: BLE001
+                        error = f"{type(e).__name__}: {e}"[:500]
+                out.append((400 if error else 200, error or "success", made))
+            code, message, made = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.int32()), pa.array(message, pa.string()), pa.array(made, pa.binary())], names=["doc_id", "status_code", "status_message", "pdf"])
+
+    return j.select("doc_id", "filetype", "content", "text", "error").mapInArrow(run, "doc_id long, status_code int, status_message string, pdf binary")
+
+
 def kept_tables(kind: Column, infer: Column, skip: tuple[str, ...] = ("PDF", "JPG", "PNG")) -> Column:
     """Whether tables are wanted: where asked for, but for the kinds that are left out."""
     return infer & ~kind.isin(*skip)
