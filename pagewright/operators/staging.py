@@ -221,7 +221,7 @@ def weaviate(elements: DataFrame) -> DataFrame:
     return e.select("doc_id", "ord", *[F.col("metadata")[k].alias(k) for k in METADATA_FIELDS if k not in WEAVIATE_EXCLUDED], "text", F.col("type").alias("category"))
 
 
-def weaviate_class(name: str = "UnstructuredDocument") -> dict:
+def weaviate_class(name: str = "Element") -> dict:
     """The class that holds such objects."""
     kinds = {"string": "text", "int": "int", "array<string>": "text[]"}
     properties = [{"name": k, "dataType": [kinds[v]]} for k, v in METADATA_FIELDS.items() if k not in WEAVIATE_EXCLUDED]

@@ -100,8 +100,6 @@ scalar(
 )
 scalar("clean_prefix", "conversations", "conv_id, turn", lambda t: X.clean_prefix(t, "(?:the|and|is)", ignore_case=True), rf"regexp_replace(regexp_replace(text, '(?i)^(?:(?:the|and|is))', ''), '^{WS}+', '')")
 scalar("clean_postfix", "conversations", "conv_id, turn", lambda t: X.clean_postfix(t, r"(?:the|of)\."), rf"regexp_replace(regexp_replace(text, '(?:(?:the|of)\.)$', ''), '{WS}+$', '')")
-scalar("unicode_quotes", "documents", "doc_id", X.replace_unicode_quotes, "replace(replace(text, '&apos;', ''''), chr(145), '‘')")
-scalar("bytes_to_string", "benchmark", "item_id", lambda t: X.bytes_string_to_string(X.clean_non_ascii_chars(t)), r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')")
 scalar("text_before", "conversations", "conv_id, turn", lambda t: X.extract_text_before(t, "the"), rf"CASE WHEN position('the' IN text) > 0 THEN regexp_replace(substr(text, 1, position('the' IN text) - 1), '{WS}+$', '') END")
 scalar("text_after", "conversations", "conv_id, turn", lambda t: X.extract_text_after(t, "the"), rf"CASE WHEN position('the' IN text) > 0 THEN regexp_replace(substr(text, position('the' IN text) + 3), '^{WS}+', '') END")
 scalar("nth_match", "documents", "doc_id", lambda t: X.nth_match(t, "[A-Z][a-z]+", 1), "regexp_extract_all(text, '[A-Z][a-z]+')[2]")
@@ -121,14 +119,6 @@ scalar("phone_numbers", "documents", "doc_id", X.contains_us_phone_number, r"reg
 scalar("upper_predicate", "documents", "doc_id", C.is_upper, r"regexp_matches(text, '\p{Lu}') AND NOT regexp_matches(text, '\p{Ll}')")
 
 
-@query(
-    rf"""SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(list_filter(l, lambda z: NOT regexp_matches(z, '[^\t-\r ]'))) AS BIGINT) AS n_blank
-FROM (SELECT doc_id, string_split(text, chr(10))[1:2000] AS l FROM documents)"""
-)
-def line_counts(spark: SparkSession, folder: str) -> DataFrame:
-    head = F.slice(F.split("text", "\n"), 1, 2000)
-    return read(spark, folder, "documents").select("doc_id", F.size(head).cast("long").alias("n_lines"), F.size(F.filter(head, lambda z: ~z.rlike(r"[^\t-\r ]"))).cast("long").alias("n_blank"))
-
 
 @query(
     """WITH RECURSIVE w AS (SELECT conv_id, turn, string_split(text, ' ') AS s FROM conversations),
@@ -210,23 +200,12 @@ def label_studio_stage(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("doc_id", "ord", F.get_json_object("task", "$.data.text").alias("text"), F.get_json_object("task", "$.data.ref_id").alias("ref_id"))
 
 
-@query(f"SELECT e.doc_id, e.ord, e.text, CAST(coalesce(n.n, 0) AS BIGINT) AS n_entities FROM ({_ELEMENTS}) e LEFT JOIN (SELECT doc_id, ord, count(*) AS n FROM (SELECT doc_id, ord FROM ({_ELEMENTS}) WHERE type = 'Table') GROUP BY 1, 2) n USING (doc_id, ord)")
-def datasaur_stage(spark: SparkSession, folder: str) -> DataFrame:
-    e = conversation_elements(spark, folder)
-    ents = e.filter("type = 'Table'").select("doc_id", "ord", F.substring("text", 1, 3).alias("text"), F.lit("W").alias("type"), F.lit(0).alias("start_idx"), F.lit(3).alias("end_idx"))
-    return K.datasaur(e, ents).select("doc_id", "ord", "text", F.size("entities").cast("long").alias("n_entities"))
-
 
 @query(f"SELECT doc_id, ord, text, type AS category FROM ({_ELEMENTS})")
 def weaviate_stage(spark: SparkSession, folder: str) -> DataFrame:
     return K.weaviate(conversation_elements(spark, folder)).select("doc_id", F.col("ord").cast("long").alias("ord"), "text", "category")
 
 
-@query(f"SELECT doc_id, count(*) AS n_rows FROM ({_ELEMENTS}) GROUP BY doc_id")
-def baseplate_stage(spark: SparkSession, folder: str) -> DataFrame:
-    b = K.baseplate(conversation_elements(spark, folder))
-    return b.select("doc_id", F.size(F.from_json(F.get_json_object("rows", "$.rows"), "array<struct<data:string>>")).cast("long").alias("n_rows"))
-
 
 @query(f"SELECT doc_id, ord, text, element_id AS id FROM ({_ELEMENTS})")
 def argilla_stage(spark: SparkSession, folder: str) -> DataFrame:
@@ -283,13 +262,6 @@ def page_ordinals(spark: SparkSession, folder: str) -> DataFrame:
     return E.page_numbers(conversation_elements(spark, folder), F.col("type") == "Table").select("doc_id", "ord", "page_number")
 
 
-@query("SELECT d.doc_id, d.n_chars, l.quality FROM documents d JOIN labels l USING (doc_id)")
-def positional_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents and labels zipped on the labels' places."""
-    d, lab = read(spark, folder, "documents"), read(spark, folder, "labels")
-    left = d.join(lab.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.lit(0).alias("ord"), "n_chars")
-    return E.positional_join(left, lab.select("doc_id", F.lit(0).alias("ord"), "quality")).select("doc_id", "n_chars", "quality")
-
 
 @query(
     """WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[a-zA-Z]+'))) AS w FROM benchmark),
@@ -394,13 +366,6 @@ def valid_boxes(spark: SparkSession, folder: str) -> DataFrame:
     return b.select("doc_id", "line_no", C.is_valid_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), 8, 60).alias("v"))
 
 
-@query(f"SELECT doc_id, line_no, x0 / 200.0 * 400.0 AS x, 1.0 * 800.0 - (1.0 - y0 / 100.0) * 800.0 AS y FROM ({_LINES}) WHERE false OR doc_id % 7 = 0")
-def coordinates_scaled(spark: SparkSession, folder: str) -> DataFrame:
-    """Pixels of a page of 200 x 100 on one of 400 x 800."""
-    b = line_boxes(spark, folder).filter("doc_id % 7 = 0")
-    p = M.convert_point(F.col("x0"), F.col("y0"), F.lit(200.0), F.lit(100.0), F.lit(400.0), F.lit(800.0), False, False)
-    return b.select("doc_id", "line_no", p["x"].alias("x"), p["y"].alias("y"))
-
 
 @query(f"SELECT doc_id, line_no, text FROM ({_LINES}) a WHERE NOT EXISTS (SELECT 1 FROM ({_LAYOUT}) b WHERE b.doc_id = a.doc_id AND b.box_id = a.line_no AND b.label = 5)")
 def masked_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -408,43 +373,12 @@ def masked_rows(spark: SparkSession, folder: str) -> DataFrame:
     return E.exclude_rows(line_boxes(spark, folder), masks, "doc_id", "line_no").select("doc_id", "line_no", "text")
 
 
-@query(
-    f"SELECT l_orderkey AS doc_id, CAST(sum(CASE WHEN l_quantity > 25 AND n > 1 THEN 0 ELSE 1 END) AS BIGINT) AS n_blocks FROM {_ITEMS} GROUP BY 1"
-)
-def stitched_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines as the only blocks of pages, those with a quantity above 25 going on from the page before."""
-    li = items(spark, folder).select(F.col("l_orderkey").alias("doc_id"), F.col("n").alias("page"), F.lit(0).alias("ord"), F.lit(L.TEXT).alias("layout_type"), F.col("l_shipdate").cast("string").alias("text"), "l_quantity")
-    start = F.when(F.col("l_quantity") > 25, 0.0).otherwise(30.0)
-    b = li.select("*", F.lit(0.0).alias("x0"), F.lit(100.0).alias("x1"), F.lit(0.0).alias("y0"), F.lit(10.0).alias("y1"), F.lit(0.0).alias("l_x0"), F.lit(100.0).alias("l_x1"), F.lit(0.0).alias("l_y0"), F.lit(10.0).alias("l_y1"), start.alias("f_x0"), F.lit(100.0).alias("f_x1"), F.lit(0.0).alias("f_y0"), F.lit(10.0).alias("f_y1"))
-    return L.stitch_paragraphs(b).groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
-
-
-@query("SELECT n_regionkey AS doc_id, '| ' || string_agg(n_name, ' |' || chr(10) || '| ' ORDER BY n_nationkey) || ' |' AS md FROM nation GROUP BY 1")
-def markdown_tables(spark: SparkSession, folder: str) -> DataFrame:
-    n = read(spark, folder, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.array(x["n_name"])).alias("rows"))
-    return n.select("doc_id", F.replace(L.markdown_table(F.col("rows")), F.lit("\n| --- |"), F.lit("")).alias("md"))
-
 
-@query("SELECT n_regionkey AS doc_id, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
-def cell_grid(spark: SparkSession, folder: str) -> DataFrame:
-    cells = read(spark, folder, "nation").select(F.col("n_regionkey").alias("doc_id"), F.lit(0).alias("row"), F.col("n_nationkey").alias("col"), F.col("n_name").alias("text"))
-    return L.grid(cells).select("doc_id", F.array_join(F.get("rows", F.lit(0)), ",").alias("names"))
 
 
 # ---- files and pages ------------------------------------------------------------------------------------------------
 
 
-@query(r"""SELECT page_id, CASE WHEN lower(regexp_extract(url, '(\.[^./]+)$', 1)) IN ('.html', '.htm') THEN 'HTML' ELSE 'UNK' END AS filetype FROM pages""")
-def page_filetypes(spark: SparkSession, folder: str) -> DataFrame:
-    p = read(spark, folder, "pages")
-    return p.select("page_id", F.when(T.type_of_extension(F.col("url")) == "HTML", "HTML").otherwise("UNK").alias("filetype"))
-
-
-@query(r"""SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY 1, 2""")
-def page_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Links by a scan of the markup."""
-    p = read(spark, folder, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
-    return p.groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
 @query(rf"""SELECT page_id, {strip_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title FROM pages""")
@@ -477,10 +411,6 @@ def regex_matches(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", F.size("f").cast("long").alias("n"), F.array_join(F.transform("f", lambda x: x["text"]), " ").alias("texts"))
 
 
-@query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS VARCHAR), '') AS k FROM events")
-def json_fields(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("k"))
-
 
 @query("SELECT DISTINCT unnest(json_keys(props)) AS key FROM events WHERE props IS NOT NULL")
 def key_union(spark: SparkSession, folder: str) -> DataFrame:
@@ -494,11 +424,6 @@ def file_names(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "documents").select("doc_id", M.file_name(path).alias("filename"), M.file_directory(path).alias("file_directory"))
 
 
-@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS filesize FROM documents")
-def base64_profile(spark: SparkSession, folder: str) -> DataFrame:
-    d = read(spark, folder, "documents").select("doc_id", F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode("text", "UTF-8"))).alias("c"))
-    return d.select("doc_id", F.length(M.base64_content(F.col("c"))).cast("long").alias("filesize"))
-
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS last_modified FROM events")
 def last_modified(spark: SparkSession, folder: str) -> DataFrame:
@@ -528,7 +453,4 @@ def page_slices(spark: SparkSession, folder: str) -> DataFrame:
     return E.page_slice(c, 2, 2).select("conv_id", "turn", "text")
 
 
-@query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
-def event_windows(spark: SparkSession, folder: str) -> DataFrame:
-    e = read(spark, folder, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return e.select("event_type", F.col("w.start").alias("start"), "n")
+from . import operator_queries  # noqa: E402, F401  (adds its queries to the tables above)
