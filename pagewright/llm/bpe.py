@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .buffers import BYTE, as_array, flat, gather, mix, powers, ship, slices, string_array
+from .buffers import BYTE, as_array, flat, gather, mix, powers, ship, slices, string_array, tidied
 
 #: What the cutting below follows, as a regular expression.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -328,9 +328,11 @@ class Bpe:
                 self.seen.put(new, numbers)
         # a word is the table's only if it is spelt alike
         lens = ends - starts
-        shift = np.repeat(self.starts[ids] - starts, lens)
+        place = np.repeat(self.starts[ids] - starts, lens)
+        place += np.arange(len(whole))
+        np.minimum(place, len(self.spell) - 1, out=place)
         same_length = np.diff(self.starts)[ids] == lens
-        alike = self.spell[np.minimum(shift + np.arange(len(whole)), len(self.spell) - 1)] == whole
+        alike = self.spell[place] == whole
         wrong = np.flatnonzero(~(same_length & np.logical_and.reduceat(alike, starts)))
         if len(wrong):
             own: dict[bytes, int] = {}
@@ -411,7 +413,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids, pa.int32()), mask=part.is_null() if part.null_count else None)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.array(counts.astype(np.int32)), lists], names=["doc_id", "n_tokens", "token_ids"])
 
-    return docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].cast("string").alias("text")).mapInArrow(run, RESULT)
+    return docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].cast("string").alias("text")).mapInArrow(tidied(run), RESULT)
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -437,4 +439,4 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
                     text = pa.array([raw[s:e].decode("utf-8", "replace") if v else None for s, e, v in zip(off, off[1:], valid)], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 256).cast(pa.int64()), text], names=["doc_id", "text"])
 
-    return encoded.select(encoded[f"`{id_col}`"].cast("long").alias("doc_id"), encoded[f"`{ids_col}`"].cast("array<int>").alias("token_ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(encoded[f"`{id_col}`"].cast("long").alias("doc_id"), encoded[f"`{ids_col}`"].cast("array<int>").alias("token_ids")).mapInArrow(tidied(run), "doc_id long, text string")

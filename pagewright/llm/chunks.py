@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import PACKED, U64, flat, fresh, ids_of, mix, of_kind, pack, packed_groups, shards_of, ship, slices, span_hashes, unpack
+from .buffers import PACKED, U64, flat, fresh, ids_of, mix, of_kind, pack, packed_groups, shards_of, ship, slices, span_hashes, tidied, unpack
 
 #: Mean length of a chunk, and the length of the spans that count, in bytes: shorter repeats are phrases.
 MEAN, MIN_SPAN = 24, 160
@@ -125,7 +125,7 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, mean: int, longest: in
         return pa.Table.from_batches([pack((mix(d) % U64(shards)).astype(np.int32), [d, np.r_[s[sel], late_s], np.r_[n[sel], late_n], np.r_[own, np.zeros(len(late_d), bool)]])])
 
     src = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].cast("string").alias("t")).filter("i is not null and t is not null")
-    return packed_groups(src.mapInArrow(send, PACKED), parts).applyInArrow(answer, PACKED)
+    return packed_groups(src.mapInArrow(tidied(send), PACKED), parts).applyInArrow(answer, PACKED)
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN, min_span: int = MIN_SPAN, longest: int = LONGEST) -> DataFrame:
@@ -192,4 +192,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return j.mapInArrow(run, docs.schema)
+    return j.mapInArrow(tidied(run), docs.schema)

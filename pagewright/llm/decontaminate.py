@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import U64, flat, ship, slices
+from .buffers import U64, flat, ship, slices, tidied
 
 RATE = 0.05
 #: Items are broadcast in parts of about so many bytes of text; all parts are searched in one pass over the documents.
@@ -351,7 +351,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 rows, items, k = zip(*found)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(items, pa.int64()), pa.array(k, pa.int32())], names=["doc_id", "item_id", "distance"])
 
-    return src.mapInArrow(run, RESULT)
+    return src.mapInArrow(tidied(run), RESULT)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE) -> DataFrame:
@@ -370,4 +370,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 keep[row] = False
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import flat, ship, slices
+from .buffers import flat, ship, slices, tidied
 
 BLOCKS = 4
 LANES = 8 * BLOCKS
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n += counts
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(prints, pa.string())], names=["doc_id", "n_paragraphs", "fingerprint"])
 
-    return docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].cast("string").alias("text")).mapInArrow(run, RESULT)
+    return docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].cast("string").alias("text")).mapInArrow(tidied(run), RESULT)
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:

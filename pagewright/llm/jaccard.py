@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .buffers import PACKED, U64, as_array, flat, fresh, mix, pack, packed_groups, shards_of, ship, slices, span_hashes, unpack
+from .buffers import PACKED, U64, as_array, flat, fresh, mix, pack, packed_groups, shards_of, ship, slices, span_hashes, tidied, unpack
 
 N = 3
 THRESHOLD = 0.55
@@ -122,7 +122,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 )
 
     src = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc"), docs[f"`{text_col}`"].cast("string").alias("t")).filter("doc is not null and t is not null")
-    return src.mapInArrow(run, "doc long, digest long, second long, sig binary")
+    return src.mapInArrow(tidied(run), "doc long, digest long, second long, sig binary")
 
 
 def least_matches(threshold: float, tolerance: float = TOLERANCE, step: int = STEP, hashes: int = HASHES) -> list[tuple[int, int]]:
@@ -170,7 +170,7 @@ def _members(sets: DataFrame, shards: int, parts: int, block: int) -> DataFrame:
         good = np.repeat(size > 1, size)
         return pa.table({"bucket": pa.array(key[good].view(np.int64)), "band": pa.array(band[good].astype(np.int32)), "rep": pa.array(rep[good]), "own": pa.array((place // block)[good].astype(np.int32)), "blocks": pa.array(blocks[good].astype(np.int32))})
 
-    return packed_groups(sets.mapInArrow(send, PACKED), parts).applyInArrow(answer, "bucket long, band int, rep long, own int, blocks int")
+    return packed_groups(sets.mapInArrow(tidied(send), PACKED), parts).applyInArrow(answer, "bucket long, band int, rep long, own int, blocks int")
 
 
 def _enumerate(task: np.ndarray, side: np.ndarray, limit: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -263,7 +263,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, t
                 rows = np.flatnonzero(plain | mixed).tolist()
                 yield pa.RecordBatch.from_arrays([b.column(2).slice(i, j - i).take(pa.array(rows, pa.int64())), pa.array([np.sort(g[at[k] : at[k + 1]]).tobytes() for k in rows], pa.binary())], names=["rep", "grams"])
 
-    full = src.join(F.broadcast(ids) if few else ids, "doc").select("doc", "t", "rep").mapInArrow(gather, "rep long, grams binary").join(need, "rep").select("shard", "rep", "grams")
+    full = src.join(F.broadcast(ids) if few else ids, "doc").select("doc", "t", "rep").mapInArrow(tidied(gather), "rep long, grams binary").join(need, "rep").select("shard", "rep", "grams")
 
     def verify(p: pa.Table, s: pa.Table) -> pa.Table:
         a, b, out = jaccards(p.column("a").to_numpy(), p.column("b").to_numpy(), s.column("rep").to_numpy(), as_array(s.column("grams")), threshold)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buffers import as_array, flat, ship, slices
+from .buffers import as_array, flat, ship, slices, tidied
 
 DIM = 1024
 ORDER = 3
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
     sums = np.zeros((len(names), dim))
-    for r in rows.mapInArrow(bundle, "sums binary").collect():
+    for r in rows.mapInArrow(tidied(bundle), "sums binary").collect():
         sums += np.frombuffer(r[0], np.float64).reshape(sums.shape)
     norm = np.linalg.norm(sums, axis=1)
     some = norm > 0
@@ -218,7 +218,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             )
 
     src = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{lang_col}`"].cast("string").alias("lang"), docs[f"`{text_col}`"].cast("string").alias("text"))
-    return src.mapInArrow(run, RESULT)
+    return src.mapInArrow(tidied(run), RESULT)
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: tuple[list[str], np.ndarray] | None = None, min_cosine: float = MIN_COSINE, min_lead: float = MIN_LEAD) -> DataFrame:
@@ -232,4 +232,4 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             *_, accepted = _judge(b.column(at), names, prototypes, DIM, ORDER, min_cosine, min_lead)
             yield b.filter(pa.array(accepted))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

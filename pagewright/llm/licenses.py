@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .buffers import flat, ship, slices
+from .buffers import flat, ship, slices, tidied
 
 RESULT = "doc_id long, license_id string, rule_id string, kind string, start int, stop int, matched string"
 
@@ -304,4 +304,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     names=["doc_id", "license_id", "rule_id", "kind", "start", "stop", "matched"],
                 )
 
-    return docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].cast("string").alias("text")).mapInArrow(run, RESULT)
+    return docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].cast("string").alias("text")).mapInArrow(tidied(run), RESULT)

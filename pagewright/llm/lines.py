@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from ..session import ensure_checkpoint_dir
-from .buffers import PACKED, U64, flat, fresh, gather, ids_of, mix, pack, packed_groups, shards_of, ship, slices, string_array, unpack
+from .buffers import PACKED, U64, flat, fresh, gather, ids_of, mix, pack, packed_groups, shards_of, ship, slices, string_array, tidied, unpack
 
 #: A line that occurs so many times in the corpus keeps only its first occurrence. Lines with fewer stay: with 2, near
 #: copies of a document would be cut down to the lines in which they differ.
@@ -211,7 +211,7 @@ def line_index(docs: DataFrame, id_col: str, text_col: str, min_count: int, shar
         return pa.table([pa.array(t.column("shard").to_pylist()[:1], pa.int32()), *(pa.array([x], pa.binary()) for x in index.to_row())], names=["shard", *_FIELDS])
 
     src = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].cast("string").alias("t")).filter("t is not null")
-    return packed_groups(src.mapInArrow(send, PACKED), parts).applyInArrow(build, INDEX)
+    return packed_groups(src.mapInArrow(tidied(send), PACKED), parts).applyInArrow(build, INDEX)
 
 
 #: (halves of line hashes, ids of their documents, numbers of their rows) -> (whether a line repeats, whether this document is its first).
@@ -297,7 +297,7 @@ def found_by_shards(docs: DataFrame, index: DataFrame, id_col: str, text_col: st
         return pa.table({"_pw_doc": pa.array(d[cut], pa.int64()), "_pw_lines": pa.array(lines, pa.binary())})
 
     src = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].cast("string").alias("t")).filter("t is not null")
-    found = packed_groups(src.mapInArrow(send, PACKED), parts).cogroup(packed_groups(index, parts)).applyInArrow(answer, "_pw_doc long, _pw_lines binary")
+    found = packed_groups(src.mapInArrow(tidied(send), PACKED), parts).cogroup(packed_groups(index, parts)).applyInArrow(answer, "_pw_doc long, _pw_lines binary")
     return found.groupBy("_pw_doc").agg(F.collect_list("_pw_lines").alias("_pw_lines"))
 
 
@@ -394,7 +394,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             text, before, removed = cut(b)
             yield pa.RecordBatch.from_arrays([b.column(0), text, pa.array(before.astype(np.int32)), pa.array(removed.astype(np.int32))], names=["doc_id", "text", "n_lines", "n_removed"])
 
-    return rows.mapInArrow(run, "doc_id long, text string, n_lines int, n_removed int")
+    return rows.mapInArrow(tidied(run), "doc_id long, text string, n_lines int, n_removed int")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", min_count: int = MIN_COUNT) -> DataFrame:
@@ -419,7 +419,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             left = pc.or_(pa.array(removed == 0), pc.fill_null(pc.match_substring_regex(text, r"[^ \t\r\n]"), False))
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(left)
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(tidied(run), docs.schema)
 
 
 ORACLE = """

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .buffers import U64, as_array, flat, ship, slices
+from .buffers import U64, as_array, flat, ship, slices, tidied
 
 #: (values, bits of each) by selector; 0 is the escape.
 KINDS = ((1, 32), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -171,7 +171,7 @@ def pack_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
                 ids, counts = coder.encode(data, off[i : j + 1])
                 yield _batch(b.column(0).slice(i, j - i).cast(pa.int64()), ids, counts, valid[i:j], block)
 
-    return docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].cast("string").alias("text")).mapInArrow(run, RESULT)
+    return docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].cast("string").alias("text")).mapInArrow(tidied(run), RESULT)
 
 
 def _batch(doc_id: pa.Array, ids: np.ndarray, counts: np.ndarray, valid: np.ndarray, block: int) -> pa.RecordBatch:
@@ -202,7 +202,7 @@ def pack_ids(lists: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids
                     flat_ids = flat_ids.drop_null()
                 yield _batch(b.column(0).slice(i, 1024).cast(pa.int64()), flat_ids.cast(pa.int64()).to_numpy(zero_copy_only=False), counts, valid, block)
 
-    return lists.select(lists[f"`{id_col}`"].cast("long").alias("doc_id"), lists[f"`{ids_col}`"].cast("array<long>").alias("ids")).mapInArrow(run, RESULT)
+    return lists.select(lists[f"`{id_col}`"].cast("long").alias("doc_id"), lists[f"`{ids_col}`"].cast("array<long>").alias("ids")).mapInArrow(tidied(run), RESULT)
 
 
 def unpack_ids(packed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -222,4 +222,4 @@ def unpack_ids(packed: DataFrame, block: int = BLOCK) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(valid, counts, 0))].astype(np.int32)), pa.array(ids), mask=None if valid.all() else pa.array(~valid))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "token_ids"])
 
-    return packed.select("doc_id", "n_ids", "packed", "block_offsets").mapInArrow(run, "doc_id long, token_ids array<long>")
+    return packed.select("doc_id", "n_ids", "packed", "block_offsets").mapInArrow(tidied(run), "doc_id long, token_ids array<long>")
