@@ -131,7 +131,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """(languages, their prototypes of length one) from at most ``fit_rows`` rows of each label.
 
     Rows without a label, id or text don't count. The sample is chosen from the id and label columns alone; the
-    driver gets one vector a language."""
+    driver gets one vector a language. Ids are taken to be the rows' own: all texts of a chosen id are bundled, for the
+    label that sorts last where it has several. An empty table gives no languages."""
     spark = docs.sparkSession
     ship(spark)
     key = F.xxhash64(F.col("id"))
@@ -222,7 +223,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: tuple[list[str], np.ndarray] | None = None, min_cosine: float = MIN_COSINE, min_lead: float = MIN_LEAD) -> DataFrame:
-    """The accepted documents with all their columns, decided in the one pass that copies them."""
+    """The accepted documents with all their columns, decided in the one pass that copies them.
+
+    Which are accepted is as in ``identify``: null, empty and letterless texts go, as do texts between two languages;
+    rows with the same id are judged each by itself, equal rows alike, and a null id or label doesn't matter. Other columns are carried
+    along whatever their names and nulls; an empty table stays empty."""
     ship(docs.sparkSession)
     names, prototypes = model or fit(docs, id_col, text_col, lang_col)
     at = docs.columns.index(text_col)

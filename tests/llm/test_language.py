@@ -58,3 +58,30 @@ def test_edges(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, None, 7}
     assert L.identify(docs.limit(0)).count() == 0
     assert not any(r.accepted for r in L.identify(docs.filter("lang is null")).collect())
+
+
+def test_decision_against_slow(spark):
+    """Cosine, lead, ties and acceptance, from the vectors by hand."""
+    import math
+
+    texts = ["the cat and the hat", "der hund und die katze", "", None, "123 456", "the", "zzzz qqqq xxxx"]
+    data, off, _ = L.flat(pa.array([t or "" for t in texts]))
+    v = L.text_vectors(data, off)
+    names = ["aa", "bb", "cc"]
+    unit = lambda x: x / math.sqrt(sum(float(a) ** 2 for a in x))
+    prototypes = np.stack([unit(v[0].astype(float)), unit(v[0].astype(float)), unit(v[1].astype(float))])  # aa and bb tie
+    rows = [(k, t, "x", k) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, cosine int")
+    got = {r.doc_id: r for r in L.identify(docs, model=(names, prototypes)).collect()}
+    for k, t in enumerate(texts):
+        length = math.sqrt(sum(float(a) ** 2 for a in v[k]))
+        r = got[k]
+        if t is None or not any(c.isalpha() for c in t):
+            assert (r.predicted, r.cosine, r.lead, r.accepted) == (None, None, None, False)
+            continue
+        cos = [sum(float(a) * float(b) for a, b in zip(v[k], p)) / length for p in prototypes]
+        top = max(range(3), key=lambda i: (round(cos[i], 9), -i))
+        lead = cos[top] - max(c for i, c in enumerate(cos) if i != top)
+        assert r.predicted == names[top] and abs(r.cosine - cos[top]) < 1e-6 and abs(r.lead - lead) < 1e-6
+        assert r.accepted == (cos[top] >= L.MIN_COSINE and lead >= L.MIN_LEAD)
+    assert got[0].predicted == "aa" and not got[0].accepted and got[1].predicted == "cc" and got[1].accepted

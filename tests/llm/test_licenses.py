@@ -62,3 +62,25 @@ def test_edges(spark):
     got = L.scan(docs).collect()
     assert sorted(((r.doc_id, r.license_id) for r in got), key=str) == sorted([(3, "MIT"), (3, "GPL-3.0"), (None, "CC-BY-NC-4.0"), (4, "Apache-2.0")], key=str)
     assert L.scan(docs.limit(0)).count() == 0
+
+
+def test_resolving_against_slow():
+    """Priority first, then length, then the rule's number, then the place; what holds or is held by one taken goes."""
+    import random
+
+    rnd = random.Random(4)
+    rules = [r for r, _ in L.compiled()]
+    for _ in range(300):
+        found = []
+        for _ in range(rnd.randrange(1, 9)):
+            s = rnd.randrange(0, 20)
+            found.append((s, s + rnd.randrange(1, 12), rnd.randrange(len(rules))))
+        left, want = list(found), []
+        while left:
+            best = left[0]
+            for f in left[1:]:
+                a, b = (rules[f[2]].priority, f[1] - f[0], -f[2], -f[0]), (rules[best[2]].priority, best[1] - best[0], -best[2], -best[0])
+                best = f if a > b else best
+            want.append(best)
+            left = [f for f in left if not (best[0] <= f[0] and f[1] <= best[1]) and not (f[0] <= best[0] and best[1] <= f[1])]
+        assert L.resolve(found) == sorted(want)

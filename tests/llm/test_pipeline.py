@@ -53,13 +53,22 @@ def test_run(spark, sf_dir):
 
 
 def test_empty_and_nulls(spark, sf_dir):
+    """What is left by each stage, beside columns that the operators use as names of their own."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    schema = T.StructType([*schema.fields, T.StructField("shard", T.StringType())])
-    rows = [(1, None, None, None, None, None), (None, "the of and the", "en", "s", 14, "x"), (2, "", "en", "s", 0, "x"), (3, "the of and the", "en", "s", 14, "x"), (3, "the of and the", "en", "s", 14, "x")]
-    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
-        for _, stage in CP.STAGES:
-            docs = stage(spark, docs, sf_dir)
-            docs.count()
+    schema = T.StructType([*schema.fields, *[T.StructField(n, T.StringType()) for n in ("shard", "_pw_doc", "_pw_gone", "_pw_lines")]])
+    word = "the of and the in a text that is of some length and has the words of it "
+    rows = [(1, None, None, None, None), (None, word, "en", "s", 14), (2, "", "en", "s", 0), (3, word, "en", "s", 14), (3, word, "en", "s", 14), (4, "123 456", "en", "s", 7), (5, word * 20_000, "en", "s", None)]
+    docs = spark.createDataFrame([(*r, "x", "y", None, "z") for r in rows], schema)
+    one, two = [(3, 72), (3, 72), (5, 1_440_000), (None, 72)], [(3, 72), (3, 72), (None, 72)]  # 5 has the n-grams of 3
+    want = [one, one, two, two]
+    empty = spark.createDataFrame([], schema)
+    for (name, stage), left in zip(CP.STAGES, [*want, None]):
+        docs, empty = stage(spark, docs, sf_dir).checkpoint(), stage(spark, empty, sf_dir).checkpoint()
+        assert empty.count() == 0
+        if left is not None:
+            assert docs.columns == schema.names
+            assert sorted(((r.doc_id, len(r.text)) for r in docs.collect()), key=str) == sorted(left, key=str), name
+    assert sorted(((r.doc_id, r.n_tokens > 0) for r in docs.collect()), key=str) == sorted([(3, True), (3, True), (None, True)], key=str)
 
 
 def test_results_dont_depend_on_partitions(spark, sf_dir):

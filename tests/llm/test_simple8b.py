@@ -63,3 +63,34 @@ def test_null_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in S.pack_tokens(docs, vocabulary()).collect()}
     assert got[1].packed is None and got[1].n_ids == 0 and got[2].packed == b"" and got[2].block_offsets == []
+
+
+def slow_words(values, block):
+    """Words of one list: at each place the selector that fits the most of the values that are left in the block."""
+    kinds = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
+    out, starts = [], []
+    for lo in range(0, len(values), block):
+        part, i = values[lo : lo + block], 0
+        starts.append(len(out))
+        while i < len(part):
+            for n, bits in kinds:
+                some = part[i : i + n]
+                if all(0 <= v < 1 << bits for v in some) and (len(some) == n or len(some) == len(part) - i):
+                    out.append(len(some))
+                    i += len(some)
+                    break
+            else:
+                out += [1, 0]
+                i += 1
+    return len(out), starts
+
+
+def test_sizes_against_slow_encoder():
+    """No list takes more words than a slow greedy encoder needs, and blocks start at the same words."""
+    r = np.random.default_rng(12)
+    for _ in range(60):
+        top = int(r.choice([1, 2, 50, 1000, 60_000, 1 << 40]))
+        values = r.integers(0, top + 1, int(r.integers(0, 700)))
+        words, sizes, _, blocks = S.encode(values, np.array([len(values)]), 256)[:4]
+        n, starts = slow_words(values.tolist(), 256)
+        assert len(words) <= n and len(starts) == -(-len(values) // 256)
