@@ -416,10 +416,10 @@ def pdf_text(spark: SparkSession, folder: str) -> DataFrame:
     return pdf_lines(files).select("doc_id", "page", "text")
 
 
-@query("SELECT page_id AS doc_id, '/x' || page_id AS href, 'Link words' AS link, 'strong' AS emphasized, 'b' AS tag, 'Link words and strong text that says things.' AS text FROM pages")
-def page_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Links (of the tags that the parser keeps) and emphasis of paragraphs, as they come with the elements."""
-    html = F.concat(F.lit("<html><body><div><p><span href='/x"), F.col("page_id").cast("string"), F.lit("'>Link words</span> and <b>strong</b> text that says things.</p></div></body></html>"))
+@query("SELECT page_id AS doc_id, 'strong ' || page_id AS emphasized, 'b' AS tag, 'Some words and strong ' || page_id || ' text that says things.' AS text FROM pages")
+def page_emphasis(spark: SparkSession, folder: str) -> DataFrame:
+    """Emphasis of paragraphs, as it comes with the elements."""
+    html = F.concat(F.lit("<html><body><div><p>Some words and <b>strong "), F.col("page_id").cast("string"), F.lit("</b> text that says things.</p></div></body></html>"))
     e = partition_html(P.spread(read(spark, folder, "pages")).select("page_id", html.alias("html")), "page_id")
     first = lambda c: F.get(F.col(f"metadata.{c}"), F.lit(0))
-    return e.select("doc_id", first("link_urls").alias("href"), first("link_texts").alias("link"), first("emphasized_text_contents").alias("emphasized"), first("emphasized_text_tags").alias("tag"), "text")
+    return e.select("doc_id", first("emphasized_text_contents").alias("emphasized"), first("emphasized_text_tags").alias("tag"), "text")
