@@ -54,7 +54,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_pairs(table(spark, sf_dir, "documents"))
+    return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +62,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_bpe, op4_fingerprints, op5_token_output, op6_line_dedup, op7_decontaminate, op8_substring_dedup, op9_jaccard_join, op10_license_scan)}
-ORACLES: dict[str, str] = {"op4_fingerprints": fingerprint.ORACLE, "op6_line_dedup": lines.ORACLE, "op9_jaccard_join": jaccard.ORACLE}
+ORACLES: dict[str, str] = {"op4_fingerprints": fingerprint.ORACLE, "op6_line_dedup": lines.ORACLE, "op9_jaccard_join": jaccard.CLASSES}

@@ -107,6 +107,86 @@ def test_oracle(spark, sf_dir, duck):
     same(J.jaccard_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet")), duck.execute(J.ORACLE).df())
 
 
+def classes_of(ids, pairs):
+    """{id: (least id of its class, number of links)}"""
+    link, n = {d: d for d in ids}, dict.fromkeys(ids, 0)
+    root = lambda x: x if link[x] == x else root(link[x])
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        link[max(x, y)] = min(x, y)
+        n[a] += 1
+        n[b] += 1
+    return {d: (root(d), n[d]) for d in link}
+
+
+@pytest.mark.parametrize("several", [False, True])
+@pytest.mark.parametrize("block", [J.BLOCK, 8])
+def test_classes(spark, block, several):
+    """One row for each id, with the class and the number of its pairs, where ids have one set and where some have several."""
+    rows = make_rows()
+    rows = [*rows, (12, rows[70][1]), (13, rows[70][1]), (13, rows[12][1]), (905, rows[2][1])] if several else [r for r in rows if r[0] != 3] + [(20, rows[20][1])]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, rep int")
+    pairs = {(r.doc_a, r.doc_b) for r in J.jaccard_pairs(docs, block=block).collect()}
+    assert pairs <= brute(rows).keys() and len(pairs) >= 0.97 * len(brute(rows))
+    out = J.classes(docs, block=block).collect()
+    assert len(out) == len({d for d, _ in rows})
+    got = {r.doc_id: (r.class_id, r.links) for r in out}
+    assert got.pop(None) == (None, 0)
+    assert got == classes_of({d for d, _ in rows if d is not None}, pairs)
+
+
+def test_classes_are_a_row_each(spark, tmp_path):
+    """The query's rows follow its documents, not the pairs in a group of copies; no link between different texts is lost."""
+    from pagewright.llm.queries import QUERIES
+
+    words = [f"w{k}" for k in range(200)]
+    near = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(0, 200, 4)]
+    rows = [(k, near[k % 50]) for k in range(150)] + [(500, "something else is said here")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op9_jaccard_join"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(k, 0, 149) for k in range(150)} | {(500, 500, 0)}
+    assert got.count() == len(rows)
+
+
+@pytest.mark.parametrize(("broadcast", "known"), [(0, 1 << 30), (0, 0)])
+def test_ids_that_are_many(spark, monkeypatch, broadcast, known):
+    """The result is the same where ids are joined by a shuffle, and where tasks don't know them."""
+    docs = spark.createDataFrame(make_rows(), "doc_id long, text string")
+    want = {tuple(r) for r in J.classes(docs).collect()}
+    monkeypatch.setattr(J, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(J, "FILTER_ROWS", known)
+    assert {tuple(r) for r in J.classes(docs).collect()} == want
+
+
+def test_classes_of_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert J.classes(docs).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, ""), (None, "a b c d"), (None, None), (3, "a b c d")], "doc_id long, text string")
+    assert {tuple(r) for r in J.classes(odd).collect()} == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (None, None, 0)}
+
+
+def test_classes_oracle(spark, sf_dir, duck):
+    same(J.classes(spark.read.parquet(f"{sf_dir}/documents.parquet")), duck.execute(J.CLASSES).df())
+
+
+def test_roots():
+    r = np.random.default_rng(5)
+    for n, m in ((1, 0), (50, 20), (400, 390), (3000, 3500)):
+        x, y = r.integers(0, n, m), r.integers(0, n, m)
+        assert J.roots(x, y, n).tolist() == [c for c, _ in classes_of(range(n), zip(x.tolist(), y.tolist())).values()]
+    k = r.permutation(5000)
+    assert not J.roots(k[:-1], k[1:], 5000).any()
+
+
+def test_a_set_travels_once(spark):
+    """Values of similar sets go once to a shard, not once for each bucket that they share."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(300)) + f" end{k}") for k in range(20)], "doc_id long, text string")
+    signed, _ = J._owned(docs, "doc_id", "text", J.N)
+    sets = signed.select(F.col("digest").alias("rep"), "sig")
+    members = J._members(sets, 8, 2, J.BLOCK)
+    assert members.count() > 400 and members.select("rep", "lead").distinct().count() <= 60
+
+
 def test_keep_one(spark):
     rows = make_rows()
     docs = spark.createDataFrame([(d, t, d) for d, t in rows], "doc_id long, text string, node long")
