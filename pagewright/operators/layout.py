@@ -133,6 +133,36 @@ def free_intervals(merged: DataFrame, lo: str, hi: str, whole_lo: str, whole_hi:
     return rows.select(*keys, F.explode(F.array_compact(parts)).alias("g")).select(*keys, F.col("g.g0").alias(lo), F.col("g.g1").alias(hi))
 
 
+def _nulls_last(v: float) -> tuple[bool, float]:
+    return (True, 0.0) if v != v else (False, v)
+
+
+def _by_page(rows: DataFrame, given: list[str], f, **new: str) -> DataFrame:  # noqa: ANN001
+    """Rows with new whole numbers, which ``f`` finds a page at a time from lists of numbers (NaN for null).
+
+    A page is a row while that is done: only the given columns cross to Python, in batches of many pages, and all others stay
+    in the JVM. A Python call a page with frames of its own takes some 0.1 s a page, however few its rows are."""
+
+    def run(*cols):  # noqa: ANN002, ANN202
+        import pyarrow as pa
+
+        ends = [0, *cols[0].value_lengths().cast("int64").to_numpy(zero_copy_only=False).cumsum().tolist()]
+        flat = [c.flatten().fill_null(float("nan")).to_pylist() for c in cols]
+        out: list[list[int]] = [[] for _ in new]
+        for a, b in zip(ends, ends[1:]):
+            got = f(*[c[a:b] for c in flat])
+            for o, g in zip(out, got if len(new) > 1 else [got]):
+                o += g
+        offsets = pa.array(ends, pa.int32())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(o, pa.int32())) for o in out], names=list(new))
+
+    call = F.arrow_udf(run, "struct<" + ",".join(f"{k}:array<int>" for k in new) + ">")
+    pages = rows.groupBy(*PAGE).agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in PAGE])).alias("_rows"))
+    pages = pages.withColumn("_new", call(*[F.col(f"_rows.{c}").cast("array<double>") for c in given]))
+    each = pages.select(*PAGE, F.explode(F.arrays_zip("_rows", *[F.col(f"_new.{k}").alias(k) for k in new])).alias("_r"))
+    return each.select(*[F.col(c) if c in PAGE else F.col(f"_r._rows.{c}") for c in rows.columns], *[F.col(f"_r.{k}").cast(t).alias(k) for k, t in new.items()])
+
+
 def columns(blocks: DataFrame, offset: float = 20) -> DataFrame:
     """Blocks with the number of their column: two columns where the blocks' x-intervals make just two segments, cover
     more than 0.9 of the width and the gap between them starts within ``offset`` of the middle; else one."""
@@ -155,23 +185,21 @@ def page_language(pages: DataFrame, text: str = "text") -> DataFrame:
 def reading_order(blocks: DataFrame, threshold: float = 10) -> DataFrame:
     """Blocks of a page from top to bottom; neighbours at about the same height from left to right, by insertion: a block
     moves up past blocks whose tops differ by less than ``threshold`` and that start further right. ``ord`` is the place."""
-    names = [c for c in blocks.columns if c != "ord"]
 
-    def one(pdf):  # noqa: ANN001, ANN202
-        res = pdf.sort_values(["y0", "x0"], kind="stable").to_dict("records")
+    def place(y: list, x: list) -> list[int]:
+        res = sorted(range(len(y)), key=lambda i: (*_nulls_last(y[i]), *_nulls_last(x[i])))
         for i in range(1, len(res)):
-            j = i
-            while j > 0 and abs(res[j]["y0"] - res[j - 1]["y0"]) < threshold and res[j]["x0"] < res[j - 1]["x0"]:
-                res[j - 1], res[j] = res[j], res[j - 1]
+            r, j = res[i], i
+            while j > 0 and abs(y[r] - y[res[j - 1]]) < threshold and x[r] < x[res[j - 1]]:
+                res[j] = res[j - 1]
                 j -= 1
-        import pandas as pd
-
-        out = pd.DataFrame(res, columns=names)
-        out["ord"] = range(len(out))
+            res[j] = r
+        out = [0] * len(res)
+        for n, r in enumerate(res):
+            out[r] = n
         return out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields if f.name != "ord") + ", ord int"
-    return blocks.drop("ord").groupBy(*PAGE).applyInPandas(one, schema)
+    return _by_page(blocks.drop("ord"), ["y0", "x0"], place, ord="int")
 
 
 def sort_page_elements(rows: DataFrame) -> DataFrame:

@@ -188,3 +188,35 @@ def test_coordinates(spark):
     df = spark.createDataFrame([(([(10.0, 20.0)], "PixelSpace", 100.0, 200.0),), ((None, "PixelSpace", None, None),)], f"c {COORDINATES}")
     got = [r[0] for r in df.select(convert_coordinates(df.c, "PointSpace", 1000, 1000)).collect()]
     assert (got[0].points[0].x, got[0].points[0].y) == (100.0, 900.0) and got[1] is None
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def random_pages(spark, pages=300):
+    import random
+
+    r = random.Random(5)
+    rows = [(p, 1, k, float(r.randrange(40)), float(r.randrange(60)), 50.0, 0.0) for p in range(pages) for k in range(r.randrange(1, 9))]
+    return [(*x[:6], x[4] + r.choice((4.0, 9.0, 30.0))) for x in rows]
+
+
+def test_reading_order_many_pages(spark):
+    """As insertion says, and without a frame of its own for each page."""
+    rows = random_pages(spark)
+    df = L.reading_order(boxes(spark, rows))
+    assert "FlatMapGroupsInPandas" not in plan(df)
+    want = {}
+    for p in {x[0] for x in rows}:
+        res = sorted((x for x in rows if x[0] == p), key=lambda x: (x[4], x[3]))
+        for i in range(1, len(res)):
+            j = i
+            while j > 0 and abs(res[j][4] - res[j - 1][4]) < 10 and res[j][3] < res[j - 1][3]:
+                res[j - 1], res[j] = res[j], res[j - 1]
+                j -= 1
+        want[p] = [(x[3], x[4]) for x in res]
+    got = {}
+    for r in df.orderBy("doc_id", "ord").collect():
+        got.setdefault(r.doc_id, []).append((r.x0, r.y0))
+    assert got == want
