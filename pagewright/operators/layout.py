@@ -251,24 +251,29 @@ def same_line_boxes(boxes: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Boxes with the number of their line: from the top, a box starts a line with all free boxes whose height overlaps
     with its own by more than ``threshold`` of the lesser height; in a line, ``pos`` goes from left to right."""
 
-    def one(pdf):  # noqa: ANN001, ANN202
-        pdf = pdf.sort_values(["y0", "x0"], kind="stable").reset_index(drop=True)
-        line, n = [-1] * len(pdf), 0
-        y0, y1 = pdf["y0"].tolist(), pdf["y1"].tolist()
-        for i in range(len(pdf)):
-            if line[i] >= 0:
+    def number(ys0: list, xs: list, ys1: list) -> tuple[list[int], list[int]]:
+        by = sorted(range(len(xs)), key=lambda i: (*_nulls_last(ys0[i]), *_nulls_last(xs[i])))
+        y0, y1 = [ys0[i] for i in by], [ys1[i] for i in by]
+        whole = sum(y == y for y in y0)  # boxes without a top come last
+        line, pos, n = [-1] * len(by), [0] * len(by), 0
+        for i in range(len(by)):
+            if line[by[i]] >= 0:
                 continue
-            for j in range(i, len(pdf)):
-                both = min(y1[i], y1[j]) - max(y0[i], y0[j])
-                if line[j] < 0 and (j == i or both / max(min(y1[i] - y0[i], y1[j] - y0[j]), 1e-9) > threshold):
-                    line[j] = n
+            row, j = [], i
+            while j < len(by):
+                if j > i and j < whole and y0[j] >= y1[i] and threshold >= 0:  # nor does any box below it reach this one
+                    j = whole
+                    continue
+                if line[by[j]] < 0 and (j == i or (min(y1[i], y1[j]) - max(y0[i], y0[j])) / max(min(y1[i] - y0[i], y1[j] - y0[j]), 1e-9) > threshold):
+                    line[by[j]] = n
+                    row.append(by[j])
+                j += 1
+            for k, r in enumerate(sorted(row, key=lambda r: _nulls_last(xs[r]))):
+                pos[r] = k
             n += 1
-        pdf["line"] = line
-        pdf["pos"] = pdf.groupby("line")["x0"].rank(method="first").astype(int) - 1
-        return pdf
+        return line, pos
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in boxes.schema.fields) + ", line int, pos int"
-    return boxes.groupBy(*PAGE).applyInPandas(one, schema)
+    return _by_page(boxes, ["y0", "x0", "y1"], number, line="int", pos="int")
 
 
 def layout_elements(blocks: DataFrame) -> DataFrame:

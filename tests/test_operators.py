@@ -220,3 +220,22 @@ def test_reading_order_many_pages(spark):
     for r in df.orderBy("doc_id", "ord").collect():
         got.setdefault(r.doc_id, []).append((r.x0, r.y0))
     assert got == want
+
+
+def test_same_line_many_pages(spark):
+    """As all pairs say, and without a frame of its own for each page; a box without a left side is the last of its line."""
+    rows = random_pages(spark)
+    df = L.same_line_boxes(boxes(spark, rows))
+    assert "FlatMapGroupsInPandas" not in plan(df)
+    want = []
+    for p in {x[0] for x in rows}:
+        left, n = sorted((x for x in rows if x[0] == p), key=lambda x: (x[4], x[3])), 0
+        while left:
+            a = left[0]
+            row = [a, *(b for b in left[1:] if (min(a[6], b[6]) - max(a[4], b[4])) / min(a[6] - a[4], b[6] - b[4]) > 0.1)]
+            left = [b for b in left if not any(b is x for x in row)]
+            want += [(p, n, k, x[3]) for k, x in enumerate(sorted(row, key=lambda x: x[3]))]
+            n += 1
+    assert sorted((r.doc_id, r.line, r.pos, r.x0) for r in df.collect()) == sorted(want)
+    b = boxes(spark, [(1, 1, 0, None, 10.0, 90.0, 20.0), (1, 1, 1, 0.0, 12.0, 40.0, 20.0)])
+    assert {r.line_no: (r.line, r.pos) for r in L.same_line_boxes(b).collect()} == {0: (0, 1), 1: (0, 0)}
