@@ -211,9 +211,14 @@ def chunk_by_attention_window(t: Column, max_input_size: int, buffer: int = 2, s
     return _by_python(pack, segments, t.isNotNull())
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores where there are fewer partitions than cores, as with one small file; otherwise as it is."""
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """The rows over all cores where there are fewer partitions than cores, as with one small file; otherwise as it is.
+
+    With a key, rows of a key come together, in some tasks a core: for keys that are dear to work on, as a shuffle that follows
+    them by itself is joined to few tasks when what it moves is small."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if key:
+        return df.repartition(max(4 * cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
     return df.repartition(cores) if max(df.rdd.getNumPartitions() // 4, 1) < cores else df
 
 

@@ -354,7 +354,7 @@ def base64_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _typed(spark: SparkSession, folder: str, body: str, kind: str) -> DataFrame:
-    d = read(spark, folder, _C).filter("turn = 0").dropDuplicates(["conv_id"])
+    d = P.spread(read(spark, folder, _C).filter("turn = 0"), "conv_id").dropDuplicates(["conv_id"])
     return d.select(F.col("conv_id").alias("doc_id"), F.lit("/d/f").alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"), F.encode(F.expr(body), "UTF-8").alias("content"), F.lit(kind).alias("filetype"))
 
 

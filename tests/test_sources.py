@@ -321,3 +321,16 @@ def test_types_by_all_of_the_text(spark):
     rows = [(k, f"/d/{n}", None, bytearray(t.encode())) for k, (n, (t, _)) in enumerate(cases.items())]
     got = T.detect(spark.createDataFrame(rows, "doc_id long, path string, modificationTime timestamp, content binary"))
     assert {r.path[3:]: r.filetype for r in got.select("path", "filetype").collect()} == {n: k for n, (_, k) in cases.items()}
+
+
+def test_one_conversation_a_file_over_all_cores(spark, sf_dir):
+    """Files made of few bytes each still go over all cores."""
+    from pagewright import operator_queries as Q
+
+    files = Q._typed(spark, sf_dir, "cast(conv_id as string)", "TXT")
+    files.cache().count()
+    try:
+        assert files.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+        assert files.select("doc_id").distinct().count() == files.count()
+    finally:
+        files.unpersist()
