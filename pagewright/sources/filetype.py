@@ -84,8 +84,9 @@ def is_csv(text: Column) -> Column:
     may hold line breaks."""
     bare = F.regexp_replace(text, r'"[^"]*"', "q")
     lines = F.filter(F.split(bare, r"\r?\n"), lambda x: F.trim(x) != "")
-    n = F.transform(lines, lambda x: F.length(F.regexp_replace(x, "[^,]", "")))
-    return (F.size(lines) >= 2) & F.coalesce(F.array_min(n) > 0, F.lit(False)) & (F.array_min(n) == F.array_max(n))
+    n = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))))
+    alike = F.transform(F.array(n), lambda n: (F.size(n) >= 2) & F.coalesce(F.array_min(n) > 0, F.lit(False)) & (F.array_min(n) == F.array_max(n)))
+    return F.get(alike, F.lit(0))  # as an argument, the list is made once
 
 
 def is_mail(text: Column) -> Column:
@@ -98,7 +99,7 @@ def is_mail(text: Column) -> Column:
 
 def is_text(text: Column) -> Column:
     """Whether there is no NUL and other control characters are less than one in a hundred, in all of the text."""
-    odd = F.length(F.regexp_replace(text, "[^\\x01-\\x08\\x0E-\\x1A\\x1C-\\x1F]", ""))
+    odd = F.length(text) - F.length(F.regexp_replace(text, "[\\x01-\\x08\\x0E-\\x1A\\x1C-\\x1F]", ""))
     return ~text.contains("\0") & (odd * 100 <= F.length(text))
 
 
@@ -124,32 +125,39 @@ def _archive_type(content: pd.Series) -> pd.Series:
     return content.map(lambda c: archive_type(c) if c is not None else None)
 
 
+def _once(value: Column, f) -> Column:  # noqa: ANN001
+    """``f`` of a value that is made once, as the argument of a lambda; columns that are projected before are put in again
+    wherever they are used."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def type_of_content(content: Column, path: Column) -> Column:
     """By the first bytes; text is told apart by all of it, and by the name where the text doesn't decide. No bytes
     make this fail, whatever their encoding. Archives are opened, and only they are sent to Python."""
-    magic = F.hex(F.substring(content, 1, 8))
-    by_name = type_of_extension(path)
-    text = sniffed(content)
-    zipped = magic.startswith("504B0304")
-    ole = magic.startswith("D0CF11E0A1B11AE1")
-    text_like = is_text(text)
-    return (
-        F.when(content.isNull() | (F.length(content) == 0), "EMPTY")
-        .when(magic.startswith("25504446"), "PDF")
-        .when(magic.startswith("FFD8FF"), "JPG")
-        .when(magic.startswith("89504E470D0A1A0A"), "PNG")
-        .when(magic.startswith("7B5C727466"), "RTF")
-        .when(zipped, _archive_type(F.when(zipped, content)))
-        .when(ole, F.when(by_name.isin("DOC", "XLS", "PPT", "MSG"), by_name).otherwise("MSG"))
-        .when(text_like & is_mail(text), "EML")
-        .when(text_like & ~by_name.isin("UNK", "TXT", "ZIP"), by_name)
-        .when(text_like & is_json(text), "JSON")
-        .when(text_like & text.rlike(r"(?i)\A\s*(<!doctype html|<html)"), "HTML")
-        .when(text_like & text.rlike(r"\A\s*<\?xml"), "XML")
-        .when(text_like & is_csv(text), "CSV")
-        .when(text_like, "TXT")
-        .otherwise(by_name)
-    )
+    zipped = F.hex(F.substring(content, 1, 4)) == "504B0304"
+    known = F.struct(content.alias("content"), sniffed(content).alias("text"), _archive_type(F.when(zipped, content)).alias("archive"), type_of_extension(path).alias("name"))
+
+    def kind(x: Column, text_like: Column) -> Column:
+        magic, text, by_name = F.hex(F.substring(x["content"], 1, 8)), x["text"], x["name"]
+        return (
+            F.when(x["content"].isNull() | (F.length(x["content"]) == 0), "EMPTY")
+            .when(magic.startswith("25504446"), "PDF")
+            .when(magic.startswith("FFD8FF"), "JPG")
+            .when(magic.startswith("89504E470D0A1A0A"), "PNG")
+            .when(magic.startswith("7B5C727466"), "RTF")
+            .when(magic.startswith("504B0304"), x["archive"])
+            .when(magic.startswith("D0CF11E0A1B11AE1"), F.when(by_name.isin("DOC", "XLS", "PPT", "MSG"), by_name).otherwise("MSG"))
+            .when(text_like & is_mail(text), "EML")
+            .when(text_like & ~by_name.isin("UNK", "TXT", "ZIP"), by_name)
+            .when(text_like & is_json(text), "JSON")
+            .when(text_like & text.rlike(r"(?i)\A\s*(<!doctype html|<html)"), "HTML")
+            .when(text_like & text.rlike(r"\A\s*<\?xml"), "XML")
+            .when(text_like & is_csv(text), "CSV")
+            .when(text_like, "TXT")
+            .otherwise(by_name)
+        )
+
+    return _once(known, lambda x: _once(is_text(x["text"]), lambda text_like: kind(x, text_like)))
 
 
 def scan(spark: SparkSession, path: str, recursive: bool = True, **options: str) -> DataFrame:

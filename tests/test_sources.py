@@ -334,3 +334,15 @@ def test_one_conversation_a_file_over_all_cores(spark, sf_dir):
         assert files.select("doc_id").distinct().count() == files.count()
     finally:
         files.unpersist()
+
+
+def test_file_types_look_once(spark):
+    """The text is looked through once, whatever the number of branches that look at the text; odd characters count as before."""
+    from pagewright.sources import filetype as T
+
+    rows = [(0, b"a,b\n1,2\n"), (1, b"a,b\n\"1,\n1\",2\n\n"), (2, b"a,b\n1\n"), (3, b"x" * 99 + b"\x01"), (4, b"x" * 98 + b"\x01"), (5, b"{\"a\": 1}"), (6, b"\xfe\xff\0a\0,\0b\0\n\0c\0,\0d"), (7, None), (8, b"")]
+    files = spark.createDataFrame([(k, "/d/f", None if c is None else bytearray(c)) for k, c in rows], "doc_id long, path string, content binary")
+    df = T.detect(files)
+    got = {r.doc_id: r.filetype for r in df.collect()}
+    assert got == {0: "CSV", 1: "CSV", 2: "TXT", 3: "TXT", 4: "UNK", 5: "JSON", 6: "CSV", 7: "EMPTY", 8: "EMPTY"}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("x1A") == 1
