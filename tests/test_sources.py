@@ -346,3 +346,11 @@ def test_file_types_look_once(spark):
     got = {r.doc_id: r.filetype for r in df.collect()}
     assert got == {0: "CSV", 1: "CSV", 2: "TXT", 3: "TXT", 4: "UNK", 5: "JSON", 6: "CSV", 7: "EMPTY", 8: "EMPTY"}
     assert df._jdf.queryExecution().optimizedPlan().toString().count("x1A") == 1
+
+
+def test_base64_profile_looks_once(spark):
+    from pagewright.sources import filetype as T
+
+    df = T.profile_base64(spark.createDataFrame([("data:text/plain;base64,YSxiCjEsMgo=", "x"), ("eHg=", "y.md")], "contents string, filename string"))
+    assert sorted((r.filename, r.filesize, r.filetype) for r in df.collect()) == [("x", 8, "CSV"), ("y.md", 2, "MD")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("x1A") == 1
